@@ -6,6 +6,7 @@ import math
 from collections.abc import Sequence
 from itertools import combinations
 
+import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
@@ -77,16 +78,10 @@ def collinear_columns(pairs: DataFrame, limit: float) -> DataFrame:
     return pairs.where(F.col("rho") > limit).select(F.col("variavel_2").alias("variavel")).distinct()
 
 
-def normal_two_sided(z: Column) -> Column:
-    """Two-sided normal p-value from erfc, a rational approximation good to 1.2e-7."""
-    x = F.abs(z) / math.sqrt(2)
-    t = 1 / (1 + x * 0.5)
-    coefficients = [-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807,
-                    -1.13520398, 1.48851587, -0.82215223, 0.17087277]
-    poly = F.lit(coefficients[-1])
-    for c in reversed(coefficients[:-1]):
-        poly = poly * t + c
-    return t * F.exp(-x * x + poly)
+@F.pandas_udf("double")
+def normal_two_sided(z: pd.Series) -> pd.Series:
+    """Two-sided normal p-value; only ever applied to one-row test results."""
+    return z.map(lambda v: None if pd.isna(v) else math.erfc(abs(v) / math.sqrt(2)))
 
 
 def proportion_test(df: DataFrame, target: str, group: Column, level: float = 0.05) -> DataFrame:
