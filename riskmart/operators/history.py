@@ -1,15 +1,15 @@
 """Leakage-free history books: spine, daily rollup, and per-vintage aggregation.
 
 Events are first reduced to one row per (customer, day). Every measure used by the
-books is additive, or a maximum, over days, so the reduced rows can be joined to
-all vintages of a customer without replicating raw events; a customer that owns a
-large share of the events shrinks to at most one row per day before any join.
-Distinct counts and sums of per-group maxima are made additive over days as well.
+books is additive, or a maximum, over days, so all vintages of a customer read the
+same reduced rows and raw events are never repeated per vintage; a customer that
+owns a large share of the events shrinks to at most one row per day. Distinct
+counts and sums of per-group maxima are made additive over days as well.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,7 +19,8 @@ from riskmart.functions.dates import vintage_start
 
 DAY = "__day"
 CUSTOMER = "__customer"
-DAYS_BEFORE = "DIAS_ATE_SAFRA"
+DAY_NUMBER = "__day_number"
+EVENT_NUMBER = "__event_number"
 
 
 def spine(population: DataFrame, key: str = K.ID, customer: str = K.CUSTOMER, vintage: str = K.VINTAGE) -> DataFrame:
@@ -27,14 +28,16 @@ def spine(population: DataFrame, key: str = K.ID, customer: str = K.CUSTOMER, vi
     return population.select(key, customer, vintage, vintage_start(vintage).alias(K.CUTOFF))
 
 
-def vintages_of(customers: DataFrame, customer: str, vintages: Sequence[int]) -> DataFrame:
-    """Every customer at every listed vintage (a row-local explode of a literal list)."""
-    return customers.select(
-        F.col(customer).alias(K.CUSTOMER),
-        F.explode(F.array(*[F.lit(int(v)) for v in vintages])).alias(K.VINTAGE),
-    ).select(
-        F.concat(F.col(K.CUSTOMER).cast("string"), F.col(K.VINTAGE).cast("string")).alias(K.ID),
-        K.CUSTOMER, K.VINTAGE, vintage_start(K.VINTAGE).alias(K.CUTOFF))
+def spine_at(customers: DataFrame, customer: str, cutoffs: Mapping[int, str]) -> DataFrame:
+    """Every customer at every listed vintage: vintage number -> cutoff date.
+
+    A row-local explode of a literal list, not a join.
+    """
+    points = F.array(*[F.struct(F.lit(v).alias("v"), F.lit(d).cast("date").alias("d")) for v, d in cutoffs.items()])
+    at = customers.select(F.col(customer).alias(K.CUSTOMER), F.explode(points).alias("p"))
+    return at.select(
+        F.concat(F.col(K.CUSTOMER).cast("string"), F.col("p.v").cast("string")).alias(K.ID),
+        K.CUSTOMER, F.col("p.v").alias(K.VINTAGE), F.col("p.d").alias(K.CUTOFF))
 
 
 def events_before(spine_df: DataFrame, events: DataFrame, customer: str, event_day: str,
@@ -85,47 +88,54 @@ def stack_daily(first: DataFrame, *others: DataFrame) -> DataFrame:
 
 
 # --- per-vintage aggregates over the daily rows -----------------------------
+# Spine rows and daily rows of a customer are sorted together by day; a spine row
+# reads its features from window frames that end the day before its cutoff.
 
-def _inside(after: int | None, upto: int | None) -> Column | None:
-    d = F.col(DAYS_BEFORE)
-    cond = None
-    if after is not None:
-        cond = d > after
-    if upto is not None:
-        cond = (d <= upto) if cond is None else cond & (d <= upto)
-    return cond
+def _frame(after: int | None = None, upto: int | None = None):
+    """Days before the cutoff: all of them, or ``after < days <= upto``."""
+    w = Window.partitionBy(CUSTOMER).orderBy(DAY_NUMBER)
+    first = Window.unboundedPreceding if upto is None else -upto
+    return w.rangeBetween(first, -1 if after is None else -(after + 1))
 
 
-def total(name: str, after: int | None = None, upto: int | None = None, dtype: str = "bigint") -> Column:
-    """Sum of a daily measure over the history, or over ``after < days <= upto``; 0 if none."""
-    cond = _inside(after, upto)
-    c = F.col(name) if cond is None else F.when(cond, F.col(name))
-    return F.coalesce(F.sum(c), F.lit(0)).cast(dtype)
+def total(name: str, after: int | None = None, upto: int | None = None) -> Column:
+    """Sum of a daily count over the history, or over ``after < days <= upto``; 0 if none."""
+    return F.coalesce(F.sum(name).over(_frame(after, upto)), F.lit(0)).cast("bigint")
 
 
 def amount(name: str, after: int | None = None, upto: int | None = None) -> Column:
-    """Exact decimal total of a money measure."""
-    return total(name, after, upto, "decimal(28,2)")
+    """Exact decimal total of a money measure; a window without events gives 0."""
+    s = F.sum(name).over(_frame(after, upto))
+    if after is not None or upto is not None:
+        s = F.coalesce(s, F.lit(0))
+    return s.cast("decimal(28,2)")
 
 
 def peak(name: str) -> Column:
-    return F.max(name)
+    return F.max(name).over(_frame())
 
 
 def recency() -> Column:
     """Days between the cutoff and the latest event before it."""
-    return F.min(DAYS_BEFORE)
+    return (F.col(DAY_NUMBER) - F.max(EVENT_NUMBER).over(_frame())).cast("int")
 
 
 def book(spine_df: DataFrame, daily: DataFrame, features: Mapping[str, Column],
          key: str = K.ID, customer: str = K.CUSTOMER, vintage: str = K.VINTAGE,
          cutoff: str = K.CUTOFF) -> DataFrame:
-    """Aggregate the daily rows strictly before each cutoff, one row per key.
+    """Features of the days strictly before each cutoff, one row per key with any event.
 
-    The join partitions by customer and the grouping key contains the customer, so
-    the aggregation needs no further shuffle.
+    One shuffle by customer and one sort serve every feature and every vintage: days
+    are not repeated per vintage, so the cost grows with days plus vintages.
     """
-    joined = spine_df.join(
-        daily, (spine_df[customer] == daily[CUSTOMER]) & (daily[DAY] < spine_df[cutoff]), "inner"
-    ).withColumn(DAYS_BEFORE, F.datediff(F.col(cutoff), F.col(DAY)))
-    return joined.groupBy(key, customer, vintage).agg(*[c.alias(n) for n, c in features.items()])
+    points = spine_df.select(
+        F.col(customer).alias(CUSTOMER), F.col(cutoff).alias(DAY), F.col(key).alias("__key"),
+        F.col(vintage).alias("__vintage"))
+    rows = points.unionByName(daily.where(F.col(CUSTOMER).isNotNull()), allowMissingColumns=True)
+    number = F.unix_date(DAY)
+    rows = rows.withColumns({DAY_NUMBER: number, EVENT_NUMBER: F.when(F.col("__key").isNull(), number)})
+    seen = F.count(EVENT_NUMBER).over(_frame())
+    out = rows.select(
+        F.col("__key").alias(key), F.col(CUSTOMER).alias(customer), F.col("__vintage").alias(vintage),
+        F.col(DAY).alias(cutoff), seen.alias("__seen"), *[c.alias(n) for n, c in features.items()])
+    return out.where(F.col(key).isNotNull() & (F.col("__seen") > 0)).drop("__seen", cutoff)
