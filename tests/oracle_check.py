@@ -42,7 +42,7 @@ def compare(spark_df, con, sql: str) -> str | None:
     """None when both sides agree, else a description of the first difference."""
     rel = con.sql(sql)
     theirs = dict(zip(rel.columns, map(str, rel.types)))
-    ours = {n: KINDS.get(t, t) for n, t in spark_df.dtypes}
+    ours = {n: KINDS.get(t, t.upper()) for n, t in spark_df.dtypes}
     if set(ours) != set(theirs):
         return f"columns: only spark {sorted(set(ours) - set(theirs))}, only sql {sorted(set(theirs) - set(ours))}"
     types = {c: (ours[c], theirs[c]) for c in ours if ours[c] != theirs[c]}
