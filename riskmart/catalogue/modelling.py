@@ -1 +1,150 @@
-"""Pending."""
+"""Samples, model steps and importances. Results are checked by properties, not by SQL."""
+
+from __future__ import annotations
+
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from riskmart import constants as K
+from riskmart.catalogue import query
+from riskmart.catalogue.base_table import _scores, _telco
+from riskmart.catalogue.roles import OOT
+from riskmart.models import estimators as E
+from riskmart.models import importance as I
+from riskmart.models import training as T
+from riskmart.operators import metrics, splits
+from riskmart.plans import abt
+from riskmart.session import cut_lineage
+
+FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "p_size", "p_retailprice"]
+
+
+def line_table(t) -> DataFrame:
+    """Line items with part attributes; target: a net amount that is high for the part size."""
+    rows = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(
+        F.xxhash64("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate").alias("id"),
+        (F.year("l_shipdate") * 100 + F.month("l_shipdate")).alias("SAFRA"),
+        F.when(F.col("l_linenumber") == 7, F.lit(None)).otherwise(F.col("l_quantity")).alias("l_quantity"),
+        "l_extendedprice", "l_discount", "l_tax", "p_size", "p_retailprice",
+        F.col("l_linestatus").eqNullSafe("O").cast("int").alias(K.INSTALLED),
+        (F.col("l_extendedprice") * (1 - F.col("l_discount")) > 25000 + 300 * F.col("p_size")).cast("int").alias(K.TARGET))
+    return rows
+
+
+def _pair(t) -> tuple[DataFrame, DataFrame]:
+    """Training and later-vintage rows, stored once because every fit reads them many times."""
+    df = cut_lineage(line_table(t))
+    pair = splits.split_train_oot({"x": df}, [v for y in (2001,) for v in range(y * 100 + 1, y * 100 + 13)])["x"]
+    return pair[splits.TRAIN], pair[splits.OOT]
+
+
+def _evaluated(model, oot, flag: bool = False) -> DataFrame:
+    scored = cut_lineage(E.score(model, oot, keep=[K.INSTALLED]))
+    return metrics.evaluate(scored, "y_true", E.PROBABILITY, flag=K.INSTALLED if flag else None)
+
+
+# --- samples -----------------------------------------------------------------
+
+@query("sample_train")
+def _(t):
+    train, oot = _pair(t)
+    s = splits.sample_train({"x": {splits.TRAIN: train, splits.OOT: oot}}, 0.2)["x"]
+    return s[splits.TRAIN].withColumn("split", F.lit("treino")).unionByName(s[splits.OOT].withColumn("split", F.lit("oot")))
+
+
+@query("sample_stratified")
+def _(t):
+    return splits.sample_stratified(line_table(t), K.TARGET, 0.35)
+
+
+@query("sample_hashed")
+def _(t):
+    return splits.sample_hashed(t.orders, "o_orderkey", 0.35)
+
+
+@query("sample_capped")
+def _(t):
+    return splits.sample_capped(t.orders, "o_orderkey", 5000)
+
+
+# --- models ------------------------------------------------------------------
+
+@query("model_logistic")
+def _(t):
+    train, oot = _pair(t)
+    return _evaluated(E.fit("lr", train, FEATURES), oot, flag=True)
+
+
+@query("model_gbt")
+def _(t):
+    train, oot = _pair(t)
+    return _evaluated(E.fit("gb", train, FEATURES, params={"n_estimators": 10}), oot)
+
+
+@query("model_hist_gbt")
+def _(t):
+    train, oot = _pair(t)
+    return _evaluated(E.fit("hgb", train, FEATURES, params={"max_iter": 10, "max_bins": 64}), oot)
+
+
+@query("model_xgb_alias")
+def _(t):
+    train, oot = _pair(t)
+    return _evaluated(E.fit("xgb", train, FEATURES, params={"n_estimators": 10}), oot)
+
+
+@query("model_predict")
+def _(t):
+    train, oot = _pair(t)
+    return E.score(E.fit("lr", train, FEATURES), oot, keep=["id"], threshold=0.5)
+
+
+@query("model_incremental")
+def _(t):
+    tables = {K.STEPS[1][1]: abt.publish(1, _scores(t)), K.STEPS[2][1]: abt.publish(2, _scores(t)),
+              K.STEPS[3][1]: abt.publish(3, _telco(t))}
+    stored = {n: cut_lineage(df) for n, df in tables.items()}
+    pairs, _, _ = splits.prepare(stored, OOT)
+    return T.summary_table(T.IncrementalTraining(pairs, steps=[1, 2, 3]).run("logistic"))
+
+
+@query("model_stress_topn")
+def _(t):
+    train, oot = _pair(t)
+    ranked = ["l_extendedprice", "l_quantity", "p_size", "l_discount", "p_retailprice", "l_tax"]
+    return T.stress_test(train, oot, ranked, cuts=[2, 4, 6], params={"n_estimators": 5})
+
+
+@query("model_grid")
+def _(t):
+    train, _ = _pair(t)
+    table, _ = T.grid_search(train, FEATURES, grid={"max_depth": [3, 5], "n_estimators": [3]}, folds=3)
+    return table
+
+
+# --- importances -------------------------------------------------------------
+
+@query("imp_permutation")
+def _(t):
+    train, oot = _pair(t)
+    return I.permutation_importance(E.fit("lr", train, FEATURES), oot, "id", n_repeats=3)
+
+
+@query("imp_native")
+def _(t):
+    train, _ = _pair(t)
+    return I.native_importance(E.fit("xgb", train, FEATURES, params={"n_estimators": 5}), t.spark)
+
+
+@query("imp_coef")
+def _(t):
+    train, _ = _pair(t)
+    return I.coefficient_importance(E.fit("lr", train, FEATURES), t.spark)
+
+
+@query("score_populations")
+def _(t):
+    train, oot = _pair(t)
+    scored = T.score_splits(E.fit("lr", train, FEATURES), {"Treino": train, "Teste": oot})
+    return metrics.auc_gini(scored, "y_true", E.PROBABILITY, by=["population"])
