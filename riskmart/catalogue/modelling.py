@@ -58,12 +58,12 @@ def _(t):
     return splits.sample_stratified(line_table(t), K.TARGET, 0.35)
 
 
-@query("sample_hashed")
+@query("sample_hashed", f"SELECT * FROM orders WHERE substr(md5('42:' || CAST(o_orderkey AS VARCHAR)), 1, 8) < '{round(0.35 * 16 ** 8):08x}'")
 def _(t):
     return splits.sample_hashed(t.orders, "o_orderkey", 0.35)
 
 
-@query("sample_capped")
+@query("sample_capped", "SELECT * FROM orders ORDER BY md5('42:' || CAST(o_orderkey AS VARCHAR)), o_orderkey LIMIT 5000")
 def _(t):
     return splits.sample_capped(t.orders, "o_orderkey", 5000)
 

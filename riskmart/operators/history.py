@@ -128,7 +128,7 @@ def book(spine_df: DataFrame, daily: DataFrame, features: Mapping[str, Column],
     One shuffle by customer and one sort serve every feature and every vintage: days
     are not repeated per vintage, so the cost grows with days plus vintages.
     """
-    points = spine_df.select(
+    points = spine_df.where(F.col(customer).isNotNull()).select(
         F.col(customer).alias(CUSTOMER), F.col(cutoff).alias(DAY), F.col(key).alias("__key"),
         F.col(vintage).alias("__vintage"))
     rows = points.unionByName(daily.where(F.col(CUSTOMER).isNotNull()), allowMissingColumns=True)

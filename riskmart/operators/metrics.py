@@ -91,8 +91,10 @@ def roc_points(scored: DataFrame, y: str, p: str, by: Sequence[str] = (), ranges
         *by, F.col(p).alias("threshold"), fpr.alias("fpr"), tpr.alias("tpr"))
 
 
-def _curve_measures(curve: DataFrame, p: str, by: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:
-    """KS with its threshold, AUC and the running totals at that threshold, per group."""
+def _curve_measures(curve: DataFrame, p: str, by: Sequence[str], carry: Sequence[str] = (),
+                    fixed: float = 0.5) -> DataFrame:
+    """KS with its threshold and AUC per group; ``at_`` running totals of the carried counts at
+    that threshold, and ``fix_`` totals at a fixed one."""
     bad, good = _rates()
     gap = F.abs(bad - good)
     big = lambda c: F.col(c).cast("decimal(20,0)")
@@ -103,7 +105,8 @@ def _curve_measures(curve: DataFrame, p: str, by: Sequence[str], carry: Sequence
                     F.struct(F.coalesce(gap, F.lit(-1.0)), F.col(p)))
     out = curve.groupBy(*by).agg(
         best.alias("best"), F.sum(pairs).alias("pairs"),
-        *[F.max(f"tot_{c}").alias(f"tot_{c}") for c in dict.fromkeys([BAD, GOOD, *carry])])
+        *[F.max(f"tot_{c}").alias(f"tot_{c}") for c in dict.fromkeys([BAD, GOOD, *carry])],
+        *[F.sum(F.when(F.col(p) >= fixed, F.col(c)).otherwise(0)).alias(f"fix_{c}") for c in carry])
     two = (F.col("tot_bad") > 0) & (F.col("tot_good") > 0)
     auc = F.when(two, F.col("pairs").cast("double") / (F.lit(2.0) * F.col("tot_bad") * F.col("tot_good")))
     return out.select(
@@ -111,7 +114,7 @@ def _curve_measures(curve: DataFrame, p: str, by: Sequence[str], carry: Sequence
         F.when(two, F.col("best.gap") * 100).otherwise(0.0).alias("ks"),
         F.when(two, F.col("best.threshold")).otherwise(0.5).alias("ks_threshold"),
         auc.alias("auc"), ((F.lit(2.0) * auc - 1) * 100).alias("gini"),
-        *[F.col(f"best.cum_{c}").alias(f"at_{c}") for c in carry],
+        *[F.col(f"best.cum_{c}").alias(f"at_{c}") for c in carry], *[f"fix_{c}" for c in carry],
         *[f"tot_{c}" for c in dict.fromkeys([BAD, GOOD, *carry])])
 
 
@@ -202,25 +205,11 @@ def evaluate(scored: DataFrame, y: str, p: str, flag: str | None = None, thresho
     """
     carry = [BAD, GOOD] + (["kept_bad", "kept_good"] if flag else [])
     curve = score_curve(scored, y, p, by, flag, ranges)
-    if not use_ks_threshold:
-        curve = curve.withColumn("__hit", F.col(p) >= threshold)
-    base = _curve_measures(curve, p, by, carry)
-    if use_ks_threshold:
-        # with one class the threshold falls back to 0.5: counts come from the fixed cut
-        fixed = curve.groupBy(*by).agg(*[
-            F.sum(F.when(F.col(p) >= 0.5, F.col(c)).otherwise(0)).alias(f"fix_{c}") for c in carry])
-        one = (F.col("tot_bad") == 0) | (F.col("tot_good") == 0)
-    else:
-        fixed = curve.groupBy(*by).agg(*[
-            F.sum(F.when(F.col("__hit"), F.col(c)).otherwise(0)).alias(f"fix_{c}") for c in carry])
-        one = F.lit(True)
-    keys = list(by)
-    if not keys:
-        keys = ["__k"]
-        base, fixed = base.withColumn("__k", F.lit(0)), fixed.withColumn("__k", F.lit(0))
-    joined = base.join(fixed, keys)
+    base = _curve_measures(curve, p, by, carry, fixed=0.5 if use_ks_threshold else threshold)
+    # with one class there is no KS threshold: the counts come from the fixed cut
+    one = (F.col("tot_bad") == 0) | (F.col("tot_good") == 0) if use_ks_threshold else F.lit(True)
     at = {c: F.when(one, F.col(f"fix_{c}")).otherwise(F.col(f"at_{c}")) for c in carry}
-    cm = joined.withColumns({
+    cm = base.withColumns({
         "tn": F.col("tot_good") - at[GOOD], "fp": at[GOOD], "fn": F.col("tot_bad") - at[BAD], "tp": at[BAD],
         "threshold": F.col("ks_threshold") if use_ks_threshold else F.lit(float(threshold))})
     out = rates_of_confusion(cm).withColumn("ks_vs_benchmark", F.col("ks") - F.lit(benchmark))

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskmart.functions.values import flag
-from riskmart.operators.running import exact_quantiles, range_cuts, value_counts
+from riskmart.operators.running import exact_quantiles
 
 
 def _share(count: Column, total: Column, places: int = 2) -> Column:
@@ -67,14 +66,14 @@ def shape(df: DataFrame) -> DataFrame:
 
 def compare(first: DataFrame, second: DataFrame, target: str) -> DataFrame:
     """Rows, columns and target rate of two tables, and the change between them, as one row."""
-    def side(df, tag):
-        return df.agg(F.count("*").alias(f"rows_{tag}"),
-                      F.coalesce(F.avg(F.col(target).cast("double")), F.lit(0.0)).alias(f"rate_{tag}"))
-
-    a, b = side(first, "1"), side(second, "2")
-    both = a.select(F.lit(0).alias("k"), "*").join(b.select(F.lit(0).alias("k"), "*"), "k").drop("k")
+    both = first.select(F.lit(1).alias("__side"), F.col(target).cast("double").alias("__y")).unionByName(
+        second.select(F.lit(2).alias("__side"), F.col(target).cast("double").alias("__y")))
+    side = lambda i: F.col("__side") == i
+    row = both.agg(*[x for i in (1, 2) for x in (
+        F.count_if(side(i)).alias(f"rows_{i}"),
+        F.coalesce(F.avg(F.when(side(i), F.col("__y"))), F.lit(0.0)).alias(f"rate_{i}"))])
     lost = F.col("rows_1") - F.col("rows_2")
-    return both.select(
+    return row.select(
         "rows_1", F.lit(len(first.columns)).alias("columns_1"), F.round(F.col("rate_1") * 100, 4).alias("rate_1_pct"),
         "rows_2", F.lit(len(second.columns)).alias("columns_2"), F.round(F.col("rate_2") * 100, 4).alias("rate_2_pct"),
         lost.alias("rows_removed"),

@@ -90,12 +90,17 @@ def sample_stratified(df: DataFrame, target: str, fraction: float | Mapping, see
     return known.sample(False, fraction, seed)
 
 
+def _hash(key: str, seed: int) -> Column:
+    """Hexadecimal hash of seed and key, the same in every engine."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+
+
 def sample_hashed(df: DataFrame, key: str, fraction: float, seed: int = K.SEED) -> DataFrame:
-    """Sample that depends only on the key: stable under any partitioning."""
-    slots = 1_000_000
-    return df.where(F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(slots)) < int(fraction * slots))
+    """Sample that depends only on the key: stable under any partitioning and reproducible elsewhere."""
+    limit = f"{round(fraction * 16 ** 8):08x}"
+    return df if fraction >= 1 else df.where(F.substring(_hash(key, seed), 1, 8) < limit)
 
 
 def sample_capped(df: DataFrame, key: str, size: int, seed: int = K.SEED) -> DataFrame:
-    """At most ``size`` rows, chosen by key hash."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), F.col(key)).limit(size)
+    """At most ``size`` rows, those with the smallest key hashes."""
+    return df.orderBy(_hash(key, seed), F.col(key)).limit(size)

@@ -21,9 +21,12 @@ log = logging.getLogger(__name__)
 def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     """Overwrite the whole table, optionally partitioned by columns.
 
-    No shuffle is added: a vintage that holds a large share of the rows is written by
-    all the tasks that produced it.
+    A partitioned table is rebalanced first: small pieces of one partition value are
+    brought together, and a value that holds a large share of the rows is split into
+    several files, both from the sizes seen at run time.
     """
+    if partition_by:
+        df = df.hint("rebalance", *partition_by)
     writer = df.write.mode("overwrite").option("partitionOverwriteMode", "static")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
