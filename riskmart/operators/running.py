@@ -8,7 +8,7 @@ is bounded, so the only unpartitioned step works on at most that many rows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -18,14 +18,6 @@ MAX_RANGES = 10_000
 _RANGE = "__range"
 
 
-def null_safe_on(left: DataFrame, right: DataFrame, keys: Sequence[tuple[str, str]]) -> Column:
-    cond = None
-    for a, b in keys:
-        c = left[a].eqNullSafe(right[b])
-        cond = c if cond is None else cond & c
-    return cond
-
-
 def range_cuts(df: DataFrame, order: Column, ranges: int | None = None) -> list[float]:
     """Approximate quantiles used as range bounds.
 
@@ -46,12 +38,49 @@ def range_cuts(df: DataFrame, order: Column, ranges: int | None = None) -> list[
 def with_range(df: DataFrame, order: Column, cuts: Sequence[float], name: str = _RANGE) -> DataFrame:
     """Number of the value range each row falls in."""
     if not cuts:
-        return df.withColumn(name, F.lit(0.0))
+        return df.withColumn(name, F.lit(0))
     key = name + "_x"
     splits = [-float("inf"), *cuts, float("inf")]
     out = Bucketizer(splits=splits, inputCol=key, outputCol=name, handleInvalid="keep").transform(
         df.withColumn(key, order.cast("double")))
-    return out.drop(key)
+    return out.withColumn(name, F.col(name).cast("int")).drop(key)
+
+
+def _direction(name: str, descending: bool) -> Column:
+    return F.col(name).desc() if descending else F.col(name).asc()
+
+
+def _range_offsets(ranged: DataFrame, sums: Mapping[str, Column], by: Sequence[str], descending: bool) -> DataFrame:
+    """Per group and range: what the earlier ranges sum to, and the group total.
+
+    One row per (group, range), so the windows see at most the number of ranges.
+    """
+    parts = ranged.groupBy(*by, _RANGE).agg(*[F.sum(c).alias(f"__s_{s}") for s, c in sums.items()])
+    whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    before = whole.orderBy(_direction(_RANGE, descending)).rowsBetween(Window.unboundedPreceding, -1)
+    return parts.select(
+        *by, _RANGE,
+        *[F.coalesce(F.sum(f"__s_{s}").over(before), F.lit(0)).alias(f"__add_{s}") for s in sums],
+        *[F.sum(f"__s_{s}").over(whole).alias(f"tot_{s}") for s in sums])
+
+
+def _running(ranged: DataFrame, offsets: DataFrame, order: str, sums: Mapping[str, Column], by: Sequence[str],
+             descending: bool, columns: Sequence[str]) -> DataFrame:
+    """Running sums inside each range, started by the range's offset row.
+
+    The offset rows are stacked under the data and sort first in their range: the big
+    side is shuffled once, and nothing is joined.
+    """
+    rows = ranged.withColumns({f"__add_{s}": c for s, c in sums.items()}).withColumn("__first", F.lit(1))
+    heads = offsets.withColumn("__first", F.lit(0))
+    both = rows.unionByName(heads, allowMissingColumns=True)
+    w = Window.partitionBy(*by, _RANGE).orderBy("__first", _direction(order, descending)).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    out = both.select(
+        *columns, "__first",
+        *[F.sum(f"__add_{s}").over(w).alias(f"cum_{s}") for s in sums],
+        *[F.first(f"tot_{s}").over(w).alias(f"tot_{s}") for s in sums])
+    return out.where(F.col("__first") == 1).drop("__first")
 
 
 def running_totals(
@@ -66,35 +95,14 @@ def running_totals(
     """Add ``cum_<s>`` (inclusive running sum) and ``tot_<s>`` (group total) columns.
 
     ``order`` must be numeric, not null and unique inside a group; collapse ties with
-    a ``groupBy`` before calling. ``by`` groups are compared null-safe.
+    a ``groupBy`` before calling.
     """
-    by = list(by)
     if cuts is None:
         cuts = range_cuts(df, F.col(order), ranges)
     ranged = with_range(df, F.col(order), cuts)
-
-    def direction(c):
-        return F.col(c).desc() if descending else F.col(c).asc()
-
-    part_names = [f"__p{i}" for i in range(len(by))]
-    parts = ranged.groupBy(*[F.col(b).alias(p) for b, p in zip(by, part_names)],
-                           F.col(_RANGE).alias("__r")).agg(
-        *[F.sum(s).alias(f"__s_{s}") for s in sums])
-    whole = Window.partitionBy(*part_names) if by else Window.partitionBy(F.lit(0))
-    before = whole.orderBy(direction("__r")).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = parts.select(
-        *part_names, "__r",
-        *[F.coalesce(F.sum(f"__s_{s}").over(before), F.lit(0)).alias(f"__o_{s}") for s in sums],
-        *[F.sum(f"__s_{s}").over(whole).alias(f"tot_{s}") for s in sums])
-    joined = ranged.join(
-        offsets,
-        null_safe_on(ranged, offsets, [*zip(by, part_names), (_RANGE, "__r")]), "inner")
-    local = (Window.partitionBy(*by, _RANGE).orderBy(direction(order))
-             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return joined.select(
-        *df.columns,
-        *[(F.col(f"__o_{s}") + F.sum(s).over(local)).alias(f"cum_{s}") for s in sums],
-        *[f"tot_{s}" for s in sums])
+    added = {s: F.col(s) for s in sums}
+    offsets = _range_offsets(ranged, added, by, descending)
+    return _running(ranged, offsets, order, added, by, descending, df.columns)
 
 
 def value_counts(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
@@ -142,14 +150,16 @@ def row_positions(df: DataFrame, score: str, tie: str, descending: bool = True,
     Two levels: the running count of distinct scores gives the start of each tie
     group; inside a tie group rows are ranked by ``tie`` ranges, so one score shared
     by a large part of the table is still spread over many tasks. ``tie`` must be a
-    unique numeric id.
+    unique numeric id and ``score`` must not be null.
     """
     score_cuts = range_cuts(df, F.col(score), ranges)
-    tie_cuts = range_cuts(df, F.col(tie), ranges)
+    ranged = with_range(df, F.col(tie), range_cuts(df, F.col(tie), ranges))
+    one = {"n": F.lit(1)}
     groups = df.groupBy(F.col(score).alias("__score")).agg(F.count("*").alias("n"))
     starts = running_totals(groups, "__score", ["n"], descending=descending, cuts=score_cuts).select(
-        "__score", (F.col("cum_n") - F.col("n")).alias("__start"), F.col("tot_n").alias("n_rows"))
-    ranked = running_totals(df.withColumn("__one", F.lit(1)), tie, ["__one"], by=[score], cuts=tie_cuts)
-    return (ranked.join(starts, ranked[score] == starts["__score"], "inner")
-            .withColumn("position", F.col("__start") + F.col("cum___one"))
-            .select(*df.columns, "position", "n_rows"))
+        "__score", (F.col("cum_n") - F.col("n")).alias("__start"), F.col("tot_n").alias("__all"))
+    inside = _range_offsets(ranged, one, [score], descending=False)
+    offsets = inside.join(starts, F.col(score) == F.col("__score")).select(
+        score, _RANGE, (F.col("__add_n") + F.col("__start")).alias("__add_n"), F.col("__all").alias("tot_n"))
+    out = _running(ranged, offsets, tie, one, [score], False, df.columns)
+    return out.withColumnsRenamed({"cum_n": "position", "tot_n": "n_rows"})
