@@ -33,7 +33,7 @@ def presence_flag(c: Column | str, equals=None) -> Column:
 
 def flag(condition: Column) -> Column:
     """Condition to 0/1, a null condition counting as 0."""
-    return F.coalesce(condition.cast("int"), F.lit(0))
+    return F.when(condition, 1).otherwise(0)
 
 
 def recode(c: Column | str, mapping: Mapping) -> Column:

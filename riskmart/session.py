@@ -18,6 +18,8 @@ DEFAULTS: dict[str, str] = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # wide tables build thousands of expressions: do not record a call site for each
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # sentinel dates such as 1000-01-01 are stored
     "spark.sql.parquet.datetimeRebaseModeInWrite": "LEGACY",
     "spark.sql.parquet.datetimeRebaseModeInRead": "LEGACY",
