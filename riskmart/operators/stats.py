@@ -11,8 +11,9 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from riskmart.operators.running import range_cuts, running_totals, value_counts
+from riskmart.operators.running import exact_quantiles, range_cuts, running_totals, value_counts
 
 PAIRS_IN_ONE_AGGREGATE = 200
 
@@ -78,7 +79,7 @@ def collinear_columns(pairs: DataFrame, limit: float) -> DataFrame:
     return pairs.where(F.col("rho") > limit).select(F.col("variavel_2").alias("variavel")).distinct()
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_two_sided(z: pd.Series) -> pd.Series:
     """Two-sided normal p-value; only ever applied to one-row test results."""
     return z.map(lambda v: None if pd.isna(v) else math.erfc(abs(v) / math.sqrt(2)))
@@ -120,5 +121,4 @@ def binomial_simulation(df: DataFrame, target: str, group: Column, draws: int =
 
 def simulation_limit(simulated: DataFrame, q: float = 0.95) -> DataFrame:
     """Share of the rest's simulated means below the significance limit: their q-quantile."""
-    from riskmart.operators.running import exact_quantiles
     return exact_quantiles(simulated, "mean_rest", [q], names=["limit"])
