@@ -175,6 +175,14 @@ def _(t):
     return metrics.compare_models(s["lr"], s["gb"])
 
 
+@query("met_model_table", " UNION ALL ".join(
+    f"SELECT '{n}' AS modelo, ks, gini, auc, accuracy, precision, recall, f1_score FROM ({_measures(SCORED_SQL, p, 0.05)})"
+    for n, p in {"LR": "p", "GB": "p2"}.items()))
+def _(t):
+    return metrics.model_table({n: metrics.evaluate(scored(t), "y_true", p, threshold=0.05, use_ks_threshold=False)
+                                for n, p in {"LR": "p", "GB": "p2"}.items()})
+
+
 _ROC = f"""SELECT {{key}} p AS threshold, CAST(cg AS DOUBLE) / CAST(tg AS DOUBLE) AS fpr, CAST(cb AS DOUBLE) / CAST(tb AS DOUBLE) AS tpr"""
 
 

@@ -260,6 +260,11 @@ def compare_models(first: DataFrame, second: DataFrame, on: Sequence[str] = ("et
     return left.join(right, list(on)).withColumn(f"diferenca_{value}", F.col(b) - F.col(a))
 
 
+def model_table(records: Mapping[str, DataFrame]) -> DataFrame:
+    """The main measures of several models under each other."""
+    return stack_records(records).select("modelo", "ks", "gini", "auc", "accuracy", "precision", "recall", "f1_score")
+
+
 def confusion_table(records: DataFrame) -> DataFrame:
     """Confusion counts of every model and step, nulls last."""
     return records.select(

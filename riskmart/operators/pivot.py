@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskmart.functions.text import clean_label
-from riskmart.functions.values import as_column
+from riskmart.functions.values import as_column, flag
 
 MAX_DOMAIN = 1000
 
@@ -29,16 +29,20 @@ def columns_of(prefix: str, domain: Sequence) -> dict[str, list]:
     return out
 
 
+def _is_any(c: Column, values: list) -> Column:
+    return c == F.lit(values[0]) if len(values) == 1 else c.isin(values)
+
+
 def count_columns(c: Column | str, domain: Sequence, prefix: str) -> dict[str, Column]:
     """Aggregates counting each category; 0 where a key has none."""
-    return {n: F.count_if(F.coalesce(as_column(c).isin(vs), F.lit(False)))
-            for n, vs in columns_of(prefix, domain).items()}
+    c = as_column(c)
+    return {n: F.count_if(_is_any(c, vs)) for n, vs in columns_of(prefix, domain).items()}
 
 
 def flag_columns(c: Column | str, domain: Sequence, prefix: str) -> dict[str, Column]:
     """Aggregates telling whether each category occurs at all."""
-    return {n: F.max(F.coalesce(as_column(c).isin(vs), F.lit(False)).cast("int"))
-            for n, vs in columns_of(prefix, domain).items()}
+    c = as_column(c)
+    return {n: F.max(flag(_is_any(c, vs))) for n, vs in columns_of(prefix, domain).items()}
 
 
 def pivot_counts(df: DataFrame, key: str, column: str, prefix: str, domain: Sequence | None = None) -> DataFrame:
