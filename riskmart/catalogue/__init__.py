@@ -41,6 +41,6 @@ def query(name: str, sql: str | None = None):
 
 def load() -> dict[str, Query]:
     """All registered queries."""
-    from riskmart.catalogue import (conforming, encoding, joining, books, base_table, profiling,  # noqa: F401
+    from riskmart.catalogue import (conforming, conforming_tables, encoding, joining, books, base_table, profiling,  # noqa: F401
                                     evaluation, statistics, modelling, storage)
     return REGISTRY
