@@ -6,6 +6,8 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 class Tables:
@@ -26,6 +28,17 @@ class Query:
     sql: str | None
 
 
+def plain(df: DataFrame, texts: tuple[str, ...] = ()) -> DataFrame:
+    """Decimals and floats as double and the listed sentinel dates as ISO text, for comparison outside Spark."""
+    made = {f.name: F.col(f"`{f.name}`").cast("double") for f in df.schema if isinstance(f.dataType, (T.DecimalType, T.FloatType))}
+    return df.withColumns({**made, **{c: F.col(c).cast("string") for c in texts}})
+
+
+def plain_sql(sql: str, doubles: tuple[str, ...] | list[str] = (), texts: tuple[str, ...] = ()) -> str:
+    casts = [f"CAST({c} AS DOUBLE) AS {c}" for c in doubles] + [f"CAST({c} AS VARCHAR) AS {c}" for c in texts]
+    return f"SELECT * REPLACE ({', '.join(casts)}) FROM ({sql})"
+
+
 REGISTRY: dict[str, Query] = {}
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskmart import constants as K
-from riskmart.catalogue import query
+from riskmart.catalogue import plain, plain_sql, query
 from riskmart.catalogue.roles import (PEOPLE_SQL, RAW_REGISTRATION_SQL, RAW_SCORE_SQL, VINTAGES, WEEKLY_SPINE,
                                       raw_registration, raw_score, weekly_spine)
 from riskmart.functions import dates, text, values
@@ -90,12 +90,12 @@ def _(t):
 WITH d AS (SELECT l_orderkey, l_partkey, l_linenumber,
    CASE WHEN l_linenumber = 7 THEN DATE '1900-01-01' WHEN l_linenumber = 6 THEN DATE '9999-12-31'
         ELSE CAST(l_shipdate AS DATE) END AS day FROM lineitem)
-SELECT *, CASE WHEN day NOT IN (DATE '1900-01-01', DATE '9999-12-31') THEN day END AS clean FROM d""")
+SELECT * REPLACE (CAST(day AS VARCHAR) AS day), CASE WHEN day NOT IN (DATE '1900-01-01', DATE '9999-12-31') THEN day END AS clean FROM d""")
 def _(t):
     day = (F.when(F.col("l_linenumber") == 7, F.lit(K.OPEN_START).cast("date"))
            .when(F.col("l_linenumber") == 6, F.lit(K.OPEN_END).cast("date")).otherwise(F.to_date("l_shipdate")))
     df = t.lineitem.select("l_orderkey", "l_partkey", "l_linenumber", day.alias("day"))
-    return df.withColumn("clean", values.null_if_open_date("day"))
+    return plain(df.withColumn("clean", values.null_if_open_date("day")), ("day",))
 
 
 @query("conform_round_money", """
@@ -180,9 +180,13 @@ def _registration_sql() -> str:
 SILVER_REGISTRATION_SQL = _registration_sql()
 
 
-@query("conform_registration_table", SILVER_REGISTRATION_SQL)
+_REGISTRATION_DATES = ("DATA_FUNC_PRIVADO", "DATADENASCIMENTO")
+
+
+@query("conform_registration_table", plain_sql(
+    SILVER_REGISTRATION_SQL, ["VALOR_EMPR_DIRETOR", "BENEFICIO_BOLSA_FAMILIA", "var_07_MONETARIO"], _REGISTRATION_DATES))
 def _(t):
-    return silver.registration(raw_registration(t))
+    return plain(silver.registration(raw_registration(t)), _REGISTRATION_DATES)
 
 
 @query("conform_score_table", f"""
@@ -202,7 +206,7 @@ WITH d AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, o_orderstatus FR
 x AS (SELECT o_orderkey,
   CASE WHEN o_orderstatus = 'P' THEN NULL ELSE day END AS stamped,
   CASE WHEN o_orderstatus = 'F' THEN NULL ELSE day END AS slashed, day FROM d)
-SELECT o_orderkey, coalesce(stamped, DATE '9999-12-31') AS stamped, slashed,
+SELECT o_orderkey, CAST(coalesce(stamped, DATE '9999-12-31') AS VARCHAR) AS stamped, slashed,
        CAST(date_trunc('month', day) AS DATE) AS vintage FROM x""")
 def _(t):
     stamp = F.upper(F.date_format("o_orderdate", "ddMMMyyyy:HH:mm:ss"))
@@ -210,8 +214,9 @@ def _(t):
         "o_orderkey", F.when(F.col("o_orderstatus") != "P", stamp).alias("s"),
         F.when(F.col("o_orderstatus") == "F", F.lit("31/02/2020")).otherwise(F.date_format("o_orderdate", "dd/MM/yyyy")).alias("d"),
         F.date_format("o_orderdate", "yyyyMM").alias("v"))
-    return df.select("o_orderkey", dates.parse_day("s", default=K.OPEN_END).alias("stamped"),
-                     dates.parse_day("d", K.DAY_MASK).alias("slashed"), dates.vintage_start("v").alias("vintage"))
+    out = df.select("o_orderkey", dates.parse_day("s", default=K.OPEN_END).alias("stamped"),
+                    dates.parse_day("d", K.DAY_MASK).alias("slashed"), dates.vintage_start("v").alias("vintage"))
+    return plain(out, ("stamped",))
 
 
 @query("date_year_month_parts", """

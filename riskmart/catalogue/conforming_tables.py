@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskmart import constants as K
-from riskmart.catalogue import query
+from riskmart.catalogue import plain, plain_sql, query
 from riskmart.catalogue.roles import CPF, RAW_TELCO_SQL, _columns, raw_telco
 from riskmart.plans import silver
 
@@ -53,12 +53,13 @@ def _date(c: str, default: str | None) -> str:
 _GC = "substr(NUM_CPF, 6, 2) IN ('ZZ', 'ZX') AS GRUPO_CONTROLE"
 
 
-@query("conform_recharge_table", f"""
+@query("conform_recharge_table", plain_sql(f"""
 SELECT *, CAST(year(DAT_INSERCAO_CREDITO) AS INTEGER) AS ANO_INSERCAO, CAST(month(DAT_INSERCAO_CREDITO) AS INTEGER) AS MES_INSERCAO FROM (
 SELECT NUM_CPF, {_GC}, {_date('DAT_INSERCAO_CREDITO', None)} AS DAT_INSERCAO_CREDITO,
-  {', '.join(_cast(c, k, d) for c, (k, d) in _RECHARGE_CASTS.items())} FROM (SELECT {_columns(RECHARGE_TEXT)} FROM events))""")
+  {', '.join(_cast(c, k, d) for c, (k, d) in _RECHARGE_CASTS.items())} FROM (SELECT {_columns(RECHARGE_TEXT)} FROM events))""",
+    ["VAL_CREDITO_INSERIDO", "VAL_BONUS", "VAL_REAL", "VALOR_SOS"]))
 def _(t):
-    return silver.recharge(t.events.selectExpr(*[f"{e} AS {n}" for n, e in RECHARGE_TEXT.items()]))
+    return plain(silver.recharge(t.events.selectExpr(*[f"{e} AS {n}" for n, e in RECHARGE_TEXT.items()])))
 
 
 PAYMENT_TEXT = {
@@ -90,21 +91,26 @@ _PAYMENT_MADE = [
 ]
 
 
-@query("conform_payment_table", f"""
+_OPEN_DATES = ("DAT_CRIACAO_PAGAMENTO", "DAT_VENCIMENTO_CREDITO", "DAT_BAIXA_ATIVIDADE", "DAT_ATUALIZACAO_PAGAMENTO")
+
+
+@query("conform_payment_table", plain_sql(f"""
 SELECT *, CAST(year(DAT_STATUS_FATURA) AS INTEGER) AS ANO_FATURA, CAST(month(DAT_STATUS_FATURA) AS INTEGER) AS MES_FATURA FROM (
 SELECT NUM_CPF, {_GC}, DW_NUM_CLIENTE, SEQ_FATURA, {', '.join(_PAYMENT_MADE)}
-FROM (SELECT {_columns(PAYMENT_TEXT)} FROM lineitem JOIN orders ON l_orderkey = o_orderkey))""")
+FROM (SELECT {_columns(PAYMENT_TEXT)} FROM lineitem JOIN orders ON l_orderkey = o_orderkey))""",
+    ["VAL_ATUAL_PAGAMENTO", "VAL_BAIXA_ATIVIDADE", "VAL_JUROS_MULTAS_ITEM"], _OPEN_DATES))
 def _(t):
     rows = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    return silver.payment(rows.selectExpr(*[f"{e} AS {n}" for n, e in PAYMENT_TEXT.items()]))
+    return plain(silver.payment(rows.selectExpr(*[f"{e} AS {n}" for n, e in PAYMENT_TEXT.items()])), _OPEN_DATES)
 
 
-@query("conform_telco_table", f"""
+@query("conform_telco_table", plain_sql(f"""
 SELECT NUM_CPF || CAST(SAFRA AS VARCHAR) AS ID_UNICO, {_GC}, * EXCLUDE (flag_mig2, {', '.join(silver.TELCO_VARS)}),
   coalesce(flag_mig2, 'SEM_MIGRACAO') AS flag_mig2, CAST(var_26 IS NULL AS INTEGER) AS var26_a_var77_MISSING,
-  {', '.join(f'CAST(coalesce(CAST({v} AS DECIMAL(18,2)), -999) AS DECIMAL(18,2)) AS {v}' for v in silver.TELCO_VARS)} FROM ({RAW_TELCO_SQL})""")
+  {', '.join(f'CAST(coalesce(CAST({v} AS DECIMAL(18,2)), -999) AS DECIMAL(18,2)) AS {v}' for v in silver.TELCO_VARS)} FROM ({RAW_TELCO_SQL})""",
+    silver.TELCO_VARS))
 def _(t):
-    return silver.telco(raw_telco(t))
+    return plain(silver.telco(raw_telco(t)))
 
 
 DIMENSION_TEXT = {
@@ -114,9 +120,11 @@ DIMENSION_TEXT = {
 }
 
 
-@query("conform_dimension_table", f"""
+@query("conform_dimension_table", plain_sql(f"""
 SELECT DW_TIPO_RECARGA, DSC_TIPO_RECARGA, {_date('DAT_EXPIRACAO_DW', K.OPEN_END)} AS DAT_EXPIRACAO_DW,
   {_date('DAT_CRIACAO_DW', None)} AS DAT_CRIACAO_DW FROM (SELECT {_columns(DIMENSION_TEXT)} FROM nation)
-UNION ALL SELECT -4, 'DESCONHECIDO', DATE '9999-12-31', DATE '1900-01-01'""")
+UNION ALL SELECT -4, 'DESCONHECIDO', DATE '9999-12-31', DATE '1900-01-01'""",
+    texts=("DAT_EXPIRACAO_DW",)))
 def _(t):
-    return silver.dimension(t.nation.selectExpr(*[f"{e} AS {n}" for n, e in DIMENSION_TEXT.items()]), "tipo_recarga")
+    dim = silver.dimension(t.nation.selectExpr(*[f"{e} AS {n}" for n, e in DIMENSION_TEXT.items()]), "tipo_recarga")
+    return plain(dim, ("DAT_EXPIRACAO_DW",))
