@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,8 +52,35 @@ def test_registry():
 
 
 def test_class_weights_balance(data):
-    w = E.class_weights(E.model_matrix(data, ["good"], "FPD")).groupBy(E.LABEL).agg(F.sum(E.WEIGHT).alias("s")).collect()
-    assert len(w) == 2 and abs(w[0].s - w[1].s) < 1e-6 and abs(w[0].s - 1500) < 1e-6
+    m = E.model_matrix(data, ["good"], "FPD")
+    c = E.matrix_counts(m, ["good"])
+    assert c["n"] == 3000 and c["present"]["good"] == 2700
+    w = E.class_weights(m, c["n"], c["bad"]).groupBy(E.LABEL).agg(F.sum(E.WEIGHT).alias("s")).collect()
+    assert len(w) == 2 and all(abs(x.s - 1500) < 1e-6 for x in w)
+    with pytest.raises(ValueError, match="class"):
+        E.class_weights(m, 10, 0)
+
+
+def test_logistic_minimises_the_penalised_sum_of_losses(pair):
+    """Gradient of C * sum(w * loss) + |b|^2 / 2 vanishes at the fitted coefficients."""
+    train = pair["score_02"]["treino"]
+    model = E.fit("lr", train, ["good", "noise"], params={"C": 0.5, "tol": 1e-12})
+    lr = model.stages[-1]
+    m = E.model_matrix(train, ["good", "noise"], "FPD")
+    c = E.matrix_counts(m, ["good", "noise"])
+    rows = model.transform(E.class_weights(m, c["n"], c["bad"])).select(E.VECTOR, E.LABEL, E.WEIGHT).collect()
+    x = np.array([r[0].toArray() for r in rows])
+    y, w = (np.array([r[i] for r in rows]) for i in (1, 2))
+    p = 1 / (1 + np.exp(-(x @ lr.coefficients.toArray() + lr.intercept)))
+    gradient = 0.5 * x.T @ (w * (p - y)) + lr.coefficients.toArray()
+    assert np.abs(gradient).max() < 1e-2 and abs((w * (p - y)).sum()) < 1e-2
+
+
+def test_a_feature_without_values_is_left_out(pair):
+    train = pair["score_02"]["treino"].withColumn("empty", F.lit(None).cast("double"))
+    assert E.features_of(E.fit("lr", train, ["good", "empty"])) == ["good"]
+    with pytest.raises(ValueError, match="no feature"):
+        E.fit("lr", train, ["empty"])
 
 
 def test_columns_of_training_are_required(pair):
