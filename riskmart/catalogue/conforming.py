@@ -368,8 +368,9 @@ def _(t):
 @query("filter_before_cutoff", """
 SELECT event_id, user_id, CAST(ts AS DATE) AS day FROM events WHERE CAST(ts AS DATE) < DATE '2024-01-15'""")
 def _(t):
-    df = t.events.select("event_id", "user_id", F.to_date("ts").alias("day"))
-    return df.where(F.col("day") < F.lit("2024-01-15").cast("date"))
+    # midnight of the cutoff day against the stored timestamp: the filter reaches the parquet scan
+    early = t.events.where(F.col("ts") < F.lit("2024-01-15").cast("timestamp_ntz"))
+    return early.select("event_id", "user_id", F.to_date("ts").alias("day"))
 
 
 @query("filter_domain", f"""

@@ -49,6 +49,20 @@ def events_before(spine_df: DataFrame, events: DataFrame, customer: str, event_d
     return out.drop(events[customer]) if left == customer else out
 
 
+def until(events: DataFrame, day: str, latest: str | None, year: str | None = None) -> DataFrame:
+    """Events before the latest cutoff of interest; the filter reaches the scan.
+
+    When the table carries the ``year`` partition column of ``day``, later years are
+    pruned as whole partitions.
+    """
+    if latest is None:
+        return events
+    out = events.where(F.col(day) < F.lit(latest).cast("date"))
+    if year is not None and year in events.columns:
+        out = out.where(F.col(year).cast("int") <= int(latest[:4]))
+    return out
+
+
 def daily_rollup(events: DataFrame, customer: str, day: str, measures: Mapping[str, Column]) -> DataFrame:
     """One row per customer and day with the given aggregates."""
     return (events.where(F.col(day).isNotNull())

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskmart.functions.values import flag
-from riskmart.operators.running import exact_quantiles
+from riskmart.operators.running import exact_quantiles, shared_cuts
 
 
 def _share(count: Column, total: Column, places: int = 2) -> Column:
@@ -95,14 +95,22 @@ def uniqueness(df: DataFrame, key: str, customer: str) -> DataFrame:
 
 
 def summary(df: DataFrame, columns: Sequence[str], ranges: int | None = None) -> DataFrame:
-    """count, mean, stddev, min, quartiles and max per numeric column, quartiles exact."""
-    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
-        [], list(columns), "coluna", "valor")
-    moments = long.groupBy("coluna").agg(
-        F.count("valor").alias("count"), F.avg("valor").alias("mean"), F.stddev_samp("valor").alias("stddev"),
-        F.min("valor").alias("min"), F.max("valor").alias("max"))
-    quartiles = exact_quantiles(long, "valor", [0.25, 0.5, 0.75], by=["coluna"],
-                                names=["p25", "p50", "p75"], ranges=ranges)
+    """count, mean, stddev, min, quartiles and max per numeric column, quartiles exact.
+
+    The moments come from one wide aggregate; only the quartiles look at single values,
+    after equal values have been counted.
+    """
+    wide = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    row = wide.agg(*[x for i, c in enumerate(columns) for x in (
+        F.count(c).alias(f"n{i}"), F.avg(c).alias(f"a{i}"), F.stddev_samp(c).alias(f"s{i}"),
+        F.min(c).alias(f"l{i}"), F.max(c).alias(f"h{i}"))])
+    moments = row.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("coluna"), F.col(f"n{i}").alias("count"), F.col(f"a{i}").alias("mean"),
+                 F.col(f"s{i}").alias("stddev"), F.col(f"l{i}").alias("min"), F.col(f"h{i}").alias("max"))
+        for i, c in enumerate(columns)])).alias("m")).select("m.*")
+    cuts = shared_cuts(wide, [F.col(c) for c in columns], ranges)
+    quartiles = exact_quantiles(wide.unpivot([], list(columns), "coluna", "valor"), "valor", [0.25, 0.5, 0.75],
+                                by=["coluna"], names=["p25", "p50", "p75"], cuts=cuts)
     return moments.join(quartiles, "coluna", "left")
 
 

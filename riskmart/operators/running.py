@@ -18,21 +18,31 @@ MAX_RANGES = 10_000
 _RANGE = "__range"
 
 
-def range_cuts(df: DataFrame, order: Column, ranges: int | None = None) -> list[float]:
-    """Approximate quantiles used as range bounds.
+def range_cuts_of(df: DataFrame, orders: Sequence[Column], ranges: int | None = None) -> list[list[float]]:
+    """Approximate quantiles of several order columns, to be used as range bounds.
 
-    This is the one eager step: it returns at most ``ranges`` numbers, taken with a
-    mergeable sketch. They become constants of the plan, so a recomputed task cuts
-    the data at the same places.
+    This is the one eager step: a single job with mergeable sketches that returns at
+    most ``ranges`` numbers per column. They become constants of the plan, so a
+    recomputed task cuts the data at the same places.
     """
     if ranges is None:
         ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges = max(1, min(ranges, MAX_RANGES))
+    ranges = max(1, min(ranges, MAX_RANGES // len(orders)))
     if ranges == 1:
-        return []
+        return [[] for _ in orders]
     probs = [i / ranges for i in range(1, ranges)]
-    row = df.agg(F.percentile_approx(order.cast("double"), probs, max(1000, 10 * ranges)).alias("q")).first()
-    return sorted({x + 0.0 for x in (row.q or []) if x == x and abs(x) != float("inf")})
+    row = df.agg(*[F.percentile_approx(o.cast("double"), probs, max(1000, 10 * ranges)).alias(f"q{i}")
+                   for i, o in enumerate(orders)]).first()
+    return [sorted({x + 0.0 for x in (q or []) if x == x and abs(x) != float("inf")}) for q in row]
+
+
+def range_cuts(df: DataFrame, order: Column, ranges: int | None = None) -> list[float]:
+    return range_cuts_of(df, [order], ranges)[0]
+
+
+def shared_cuts(df: DataFrame, orders: Sequence[Column], ranges: int | None = None) -> list[float]:
+    """One set of bounds that splits each of several columns evenly."""
+    return sorted({x for cuts in range_cuts_of(df, orders, ranges) for x in cuts})
 
 
 def with_range(df: DataFrame, order: Column, cuts: Sequence[float], name: str = _RANGE) -> DataFrame:
@@ -117,6 +127,7 @@ def exact_quantiles(
     by: Sequence[str] = (),
     names: Sequence[str] | None = None,
     ranges: int | None = None,
+    cuts: Sequence[float] | None = None,
 ) -> DataFrame:
     """Exact linearly interpolated quantiles, one row per group.
 
@@ -125,7 +136,7 @@ def exact_quantiles(
     """
     names = list(names or [f"q{i}" for i in range(len(probabilities))])
     counts = value_counts(df, column, by)
-    cuts = range_cuts(df, F.col(column), ranges)
+    cuts = range_cuts(df, F.col(column), ranges) if cuts is None else cuts
     curve = running_totals(counts, column, ["n"], by=by, cuts=cuts)
 
     def at(index: Column) -> Column:
@@ -152,8 +163,8 @@ def row_positions(df: DataFrame, score: str, tie: str, descending: bool = True,
     by a large part of the table is still spread over many tasks. ``tie`` must be a
     unique numeric id and ``score`` must not be null.
     """
-    score_cuts = range_cuts(df, F.col(score), ranges)
-    ranged = with_range(df, F.col(tie), range_cuts(df, F.col(tie), ranges))
+    score_cuts, tie_cuts = range_cuts_of(df, [F.col(score), F.col(tie)], ranges)
+    ranged = with_range(df, F.col(tie), tie_cuts)
     one = {"n": F.lit(1)}
     groups = df.groupBy(F.col(score).alias("__score")).agg(F.count("*").alias("n"))
     starts = running_totals(groups, "__score", ["n"], descending=descending, cuts=score_cuts).select(

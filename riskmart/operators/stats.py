@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskmart.operators.running import exact_quantiles, range_cuts, running_totals, value_counts
+from riskmart.operators.running import (exact_quantiles, range_cuts, running_totals, shared_cuts,
+                                        value_counts)
 
 PAIRS_IN_ONE_AGGREGATE = 200
 
@@ -45,10 +46,12 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "variavel_1 string, variavel_2 string, corr double")
 
 
-def average_ranks(df: DataFrame, column: str, by: Sequence[str] = (), ranges: int | None = None) -> DataFrame:
+def average_ranks(df: DataFrame, column: str, by: Sequence[str] = (), ranges: int | None = None,
+                  cuts: Sequence[float] | None = None) -> DataFrame:
     """Average rank of each distinct value (ties share the mean of their positions)."""
     counts = value_counts(df, column, by)
-    curve = running_totals(counts, column, ["n"], by=by, cuts=range_cuts(df, F.col(column), ranges))
+    cuts = range_cuts(df, F.col(column), ranges) if cuts is None else cuts
+    curve = running_totals(counts, column, ["n"], by=by, cuts=cuts)
     return curve.select(*by, column, "n", (F.col("cum_n") - (F.col("n") - 1) / 2).alias("rank"))
 
 
@@ -59,9 +62,10 @@ def ranked_columns(df: DataFrame, columns: Sequence[str], key: str, ranges: int
     join back is on (column, value), where a hot value is split by the adaptive
     skew join of the session.
     """
-    long = df.select(key, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
-        [key], list(columns), "__column", "__value")
-    ranks = average_ranks(long, "__value", by=["__column"], ranges=ranges).drop("n")
+    wide = df.select(key, *[F.col(c).cast("double").alias(c) for c in columns])
+    long = wide.unpivot([key], list(columns), "__column", "__value")
+    cuts = shared_cuts(wide, [F.col(c) for c in columns], ranges)
+    ranks = average_ranks(long, "__value", by=["__column"], cuts=cuts).drop("n")
     return (long.join(ranks, ["__column", "__value"], "left")
             .groupBy(key).pivot("__column", list(columns)).agg(F.first("rank")))
 

@@ -197,3 +197,16 @@ def test_all_steps(spark, raw_registration, recharge_book, payments):
 def test_unknown_raw_table_is_an_error(spark):
     with pytest.raises(ValueError, match="zz"):
         silver.silver({"zz": spark.range(1)})
+
+
+def test_latest_cutoff_prunes_years_without_changing_the_book(spark, payments, raw_registration, tmp_path):
+    from riskmart.sources import writers
+    extra = payments.withColumns({"DAT_STATUS_FATURA": F.lit("2026-05-01").cast("date"), "ANO_FATURA": F.lit(2026)})
+    writers.write_parquet(payments.unionByName(extra), str(tmp_path / "p"), ["ANO_FATURA", "MES_FATURA"])
+    stored = spark.read.parquet(str(tmp_path / "p"))
+    reg = silver.registration(raw_registration)
+    domains = {"STAT_FAT": ["F"], "TIPO_PAG": ["B"], "STAT_PAG": ["B", "DESCONHECIDO"], "REGIONAL": ["R1"]}
+    early = books.payment_book(reg, stored, domains, until="2025-02-01")
+    assert early.collect() == books.payment_book(reg, payments, domains).collect()
+    plan = early._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(ANO_FATURA" in plan
