@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from riskmart import constants as K
 from riskmart.catalogue import plain, plain_sql, query
-from riskmart.catalogue.roles import (PEOPLE_SQL, RAW_REGISTRATION_SQL, RAW_SCORE_SQL, VINTAGES, WEEKLY_SPINE,
-                                      raw_registration, raw_score, weekly_spine)
+from riskmart.catalogue.roles import (RAW_REGISTRATION_SQL, RAW_SCORE_SQL, WEEKLY_SPINE, raw_registration,
+                                      raw_score, weekly_spine)
 from riskmart.functions import dates, text, values
 from riskmart.operators import frames, splits
 from riskmart.plans import silver

@@ -11,7 +11,6 @@ from riskmart.catalogue.roles import (RAW_REGISTRATION_SQL, RECHARGE_SQL, PAYMEN
 from riskmart.functions import encoders as enc
 from riskmart.functions.values import money, rounded
 from riskmart.operators.pivot import discover_domain
-from riskmart.operators.splits import oot_flag
 
 
 def _hot(name: str, column: str, value) -> str:

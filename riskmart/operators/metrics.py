@@ -203,6 +203,8 @@ def evaluate(scored: DataFrame, y: str, p: str, flag: str | None = None, thresho
     With the KS threshold the confusion counts and the swap quadrants are the running
     totals of the curve at that score, so the scored rows are read once.
     """
+    if not 0 <= threshold <= 1:
+        raise ValueError(f"threshold must be in [0, 1]: {threshold}")
     carry = [BAD, GOOD] + (["kept_bad", "kept_good"] if flag else [])
     curve = score_curve(scored, y, p, by, flag, ranges)
     base = _curve_measures(curve, p, by, carry, fixed=0.5 if use_ks_threshold else threshold)

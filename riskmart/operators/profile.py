@@ -212,3 +212,37 @@ def decile_bins(df: DataFrame, score: str, target: str, sentinel=None, bins: int
     lower = F.when(F.col("bin") > 0, bound(0)) if edges else F.lit(None).cast("double")
     upper = F.when(F.col("bin") > 0, bound(1)) if edges else F.lit(None).cast("double")
     return counted.select("bin", lower.alias("lower"), upper.alias("upper"), "volume", "rate_pct").orderBy("bin")
+
+
+# --- quality gates -----------------------------------------------------------
+
+def flag_domains(df: DataFrame, flags: Sequence[str]) -> DataFrame:
+    """Zeros, ones and anything else per flag column: every flag in one scan."""
+    row = df.agg(*[x for i, f in enumerate(flags) for x in (
+        F.count_if(F.col(f) == 0).alias(f"z{i}"), F.count_if(F.col(f) == 1).alias(f"o{i}"),
+        F.count_if(F.col(f).isNull() | ~F.col(f).isin(0, 1)).alias(f"x{i}"))])
+    cells = F.explode(F.array(*[
+        F.struct(F.lit(f).alias("coluna"), F.col(f"z{i}").alias("n_zero"), F.col(f"o{i}").alias("n_one"),
+                 F.col(f"x{i}").alias("n_other")) for i, f in enumerate(flags)]))
+    return row.select(cells.alias("c")).select("c.*")
+
+
+def require_unique(df: DataFrame, key: str) -> None:
+    """Raise when a key occurs more than once (or is null)."""
+    repeated = df.groupBy(key).agg(F.count("*").alias("n")).where((F.col("n") > 1) | F.col(key).isNull()).count()
+    if repeated:
+        raise ValueError(f"{key}: {repeated} values are repeated or null")
+
+
+def require_filled(df: DataFrame, columns: Sequence[str]) -> None:
+    """Raise when a column still has nulls."""
+    bad = {r["coluna"]: r["qtd_nulos"] for r in null_profile(df.select(*columns)).where("qtd_nulos > 0").collect()}
+    if bad:
+        raise ValueError(f"nulls left: {bad}")
+
+
+def require_binary(df: DataFrame, flags: Sequence[str]) -> None:
+    """Raise when a flag column holds anything but 0 and 1."""
+    bad = {r["coluna"]: r["n_other"] for r in flag_domains(df, flags).where("n_other > 0").collect()}
+    if bad:
+        raise ValueError(f"not binary: {bad}")

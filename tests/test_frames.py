@@ -150,3 +150,16 @@ def test_collinear(spark):
     df = spark.range(200).select("id", F.col("id").alias("a"), (F.col("id") * F.col("id")).alias("b"), F.rand(3).alias("c"))
     pairs = stats.spearman_pairs(df, ["a", "b", "c"], "id")
     assert [r[0] for r in stats.collinear_columns(pairs, K.COLLINEAR_LIMIT).collect()] == ["b"]
+
+
+def test_quality_gates(spark):
+    df = spark.createDataFrame([("a", 1, 0), ("b", 0, None)], "k string, f int, g int")
+    profile.require_unique(df, "k")
+    profile.require_filled(df, ["k", "f"])
+    profile.require_binary(df, ["f"])
+    with pytest.raises(ValueError, match="repeated"):
+        profile.require_unique(df.union(df), "k")
+    with pytest.raises(ValueError, match="'g': 1"):
+        profile.require_filled(df, ["f", "g"])
+    with pytest.raises(ValueError, match="'g': 1"):
+        profile.require_binary(df, ["f", "g"])
