@@ -63,6 +63,16 @@ def until(events: DataFrame, day: str, latest: str | None, year: str | None = No
     return out
 
 
+def of_population(events: DataFrame, customer: str, spine_df: DataFrame) -> DataFrame:
+    """Events of the customers in the spine.
+
+    Worth it when the population is a small part of the customers in the facts: the
+    rest then never reaches the rollup. Otherwise the book drops them by itself.
+    """
+    wanted = spine_df.select(F.col(K.CUSTOMER).alias("__wanted")).distinct()
+    return events.join(wanted, F.col(customer) == F.col("__wanted"), "left_semi")
+
+
 def daily_rollup(events: DataFrame, customer: str, day: str, measures: Mapping[str, Column]) -> DataFrame:
     """One row per customer and day with the given aggregates."""
     return (events.where(F.col(day).isNotNull())

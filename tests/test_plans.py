@@ -199,6 +199,14 @@ def test_unknown_raw_table_is_an_error(spark):
         silver.silver({"zz": spark.range(1)})
 
 
+def test_restricting_to_the_population_changes_nothing_else(payments, raw_registration):
+    reg = silver.registration(raw_registration)
+    strangers = payments.withColumn("NUM_CPF", F.lit("00000AA0"))
+    domains = {"STAT_FAT": ["F"], "TIPO_PAG": ["B"], "STAT_PAG": ["B", "DESCONHECIDO"], "REGIONAL": ["R1"]}
+    both = [books.payment_book(reg, payments.unionByName(strangers), domains, restrict=r).collect() for r in (False, True)]
+    assert both[0] == both[1] and len(both[0]) == 1
+
+
 def test_latest_cutoff_prunes_years_without_changing_the_book(spark, payments, raw_registration, tmp_path):
     from riskmart.sources import writers
     extra = payments.withColumns({"DAT_STATUS_FATURA": F.lit("2026-05-01").cast("date"), "ANO_FATURA": F.lit(2026)})
