@@ -18,8 +18,10 @@ from riskmart.sources.readers import _fs, exists, subfolders
 log = logging.getLogger(__name__)
 
 
-def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    """Overwrite the whole table, optionally partitioned by columns.
+def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = (), keep_others: bool = False) -> None:
+    """Overwrite the table, optionally partitioned by columns.
+
+    With ``keep_others`` only the partitions present in ``df`` are replaced.
 
     A partitioned table is rebalanced first: small pieces of one partition value are
     brought together, and a value that holds a large share of the rows is split into
@@ -27,14 +29,14 @@ def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) ->
     """
     if partition_by:
         df = df.hint("rebalance", *partition_by)
-    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "static")
+    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic" if keep_others else "static")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
 
 
-def write_by_vintage(df: DataFrame, path: str, vintage: str = K.VINTAGE) -> None:
-    write_parquet(df, path, [vintage])
+def write_by_vintage(df: DataFrame, path: str, vintage: str = K.VINTAGE, keep_others: bool = False) -> None:
+    write_parquet(df, path, [vintage], keep_others)
 
 
 def write_by_month(df: DataFrame, path: str, day: str, year: str, month: str) -> None:

@@ -88,6 +88,16 @@ def test_rewrite_in_place_and_failed_rewrite(spark, tmp_path):
     assert [f for f in os.listdir(tmp_path) if ".old-" in f] == []
 
 
+def test_one_vintage_can_be_replaced(spark, tmp_path):
+    path = str(tmp_path / "v")
+    rows = lambda *r: spark.createDataFrame(list(r), "SAFRA int, x int")
+    writers.write_by_vintage(rows((1, 10), (2, 20)), path)
+    writers.write_by_vintage(rows((2, 21)), path, keep_others=True)
+    assert sorted((r.SAFRA, r.x) for r in spark.read.parquet(path).collect()) == [(1, 10), (2, 21)]
+    writers.write_by_vintage(rows((3, 30)), path)
+    assert [(r.SAFRA, r.x) for r in spark.read.parquet(path).collect()] == [(3, 30)]
+
+
 def test_corrections(spark):
     df = spark.createDataFrame([(-5.0, -1.0, 0), (-1.0, -1.0, 1)], "SALARIO_FUNC_PUBL double, v double, SEM_HISTORICO_RECARGA int")
     assert [tuple(r) for r in writers.correct_columns(df, amounts=["v", "zz"]).collect()] == [(0.0, 0.0, 0), (-1.0, -1.0, 1)]
