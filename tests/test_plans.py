@@ -170,7 +170,8 @@ def test_payment_baseline_single_invoice_has_no_spread(payments, raw_registratio
     assert (r.PAG_QTD_FATURAS_HIST, r.PAG_DESVIO_PADRAO_ATRASO, r.PAG_MAX_DIAS_ATRASO_HIST, r.PAG_DIAS_DESDE_ULTIMO_PAG) == (1, 0.0, 2, 20)
 
 
-def test_all_steps(spark, raw_registration, recharge_book, payments):
+@pytest.fixture(scope="module")
+def inputs(spark, raw_registration, recharge_book, payments):
     reg = silver.registration(raw_registration)
     score = silver.score(spark.createDataFrame(
         [("11111AA1", 202502, 1, "CMV", 1, None, 500, None), ("99999AA9", 202501, 1, "CMV", 0, "FLEX", 300, 200)],
@@ -178,8 +179,21 @@ def test_all_steps(spark, raw_registration, recharge_book, payments):
     telco = silver.telco(spark.createDataFrame(
         [("99999AA9", 202501, "CMV", 0, None, *[None if v != "var_90" else 20000.0 for v in silver.TELCO_VARS])],
         "NUM_CPF string, SAFRA int, PROD string, FPD int, flag_mig2 string, " + ", ".join(f"{v} double" for v in silver.TELCO_VARS)))
-    steps = abt.build({"score_bureau_full": score, "telco": telco, "cadastral": reg}, recharge_book,
-                      books.payment_book(reg, payments))
+    return {"score_bureau_full": score, "telco": telco, "cadastral": reg}, recharge_book, books.payment_book(reg, payments)
+
+
+def test_stored_stages_give_the_same_tables(spark, inputs, tmp_path):
+    lazy, kept = abt.build(*inputs), abt.build_stored(*inputs, str(tmp_path))
+    assert set(lazy) == set(kept)
+    for name, df in lazy.items():
+        assert kept[name].columns == df.columns and kept[name].dtypes == df.dtypes
+        assert kept[name].exceptAll(df).count() == 0 and df.exceptAll(kept[name]).count() == 0
+    from riskmart.sources.readers import read_folder
+    assert read_folder(spark, str(tmp_path / "plus_pagamento")).count() == lazy["plus_pagamento"].count()
+
+
+def test_all_steps(inputs):
+    steps = abt.build(*inputs)
     assert {n: df.count() for n, df in steps.items()} == {
         "score_01": 2, "score_02": 2, "plus_telco": 2, "plus_cadastral": 1, "plus_recarga": 1, "plus_pagamento": 1, "nao_contratou": 1}
     t = {r.NUM_CPF: r for r in steps["plus_telco"].collect()}
