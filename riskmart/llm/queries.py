@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskmart.llm import quality, sharding
+from riskmart.llm import fingerprints, quality, sharding
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -15,6 +15,7 @@ def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op6_fingerprints": lambda s, d: fingerprints.op6_fingerprints(_read(s, d, "documents")),
         "op7_quality": lambda s, d: quality.op7_quality(_read(s, d, "documents"), _read(s, d, "labels")),
         "op10_sharding": lambda s, d: sharding.op10_sharding(_read(s, d, "documents")),
     }
