@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskmart.llm import bpe, fingerprints, quality, sharding, toxicity
+from riskmart.llm import bpe, fingerprints, lattice, quality, sharding, toxicity
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -15,6 +15,7 @@ def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_lm_score": lambda s, d: lattice.op3_lm_score(_read(s, d, "documents")),
         "op4_toxicity": lambda s, d: toxicity.op4_toxicity(_read(s, d, "documents"), _read(s, d, "labels")),
         "op6_fingerprints": lambda s, d: fingerprints.op6_fingerprints(_read(s, d, "documents")),
         "op7_quality": lambda s, d: quality.op7_quality(_read(s, d, "documents"), _read(s, d, "labels")),
