@@ -5,7 +5,8 @@ pieces of an existing vocabulary, single bytes included: a piece with the bounda
 stop. Scores weight all segmentations, and the forward recursion in log space sums them to the word's marginal
 probability. Words met in training have one more arc, the whole word, weighted with its discounted relative frequency;
 the mass that the discount frees goes to the lattice of pieces. No arc crosses a boundary mark, so the marginal
-probability of a text is the product over its words and its end token, and each distinct word is computed once.
+probability of a text is the product over its words and its end token, and each distinct word's lattice is computed once.
+Inside a text a third kind of arc repeats an earlier word of that text, in proportion to how often it has occurred there.
 
 Piece weights start from the scores stored with the vocabulary and are re-estimated from all distinct training words by
 expectation maximisation (expected uses of every piece from forward and backward sums). The probabilities of all
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from math import log10
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,9 @@ PIECE_MARK = "▁"
 KNOWN_WORDS = 150_000
 #: Distinct words that one task counts before it hands them on.
 TALLY = 200_000
-PASSES = 2
+PASSES = 3
+#: Weight of the arcs that repeat an earlier word: REPEAT * k / (k + WARM) after k words.
+REPEAT, WARM = 0.25, 20
 MISSING = -1e30
 
 
@@ -230,6 +234,14 @@ def discount(once: int, twice: int) -> float:
     return min(max(once / max(once + 2 * twice, 1), 0.1), 0.9)
 
 
+def repeats(n: int) -> tuple[list[float], list[float], list[float]]:
+    """For places 0 to n in a text: the weight kept for the other arcs, the weight of one earlier occurrence, and the
+    decimal logarithm of the former."""
+    k = np.arange(n + 1)
+    weight = REPEAT * k / (k + WARM)
+    return (1 - weight).tolist(), (weight / np.maximum(k, 1)).tolist(), np.log10(1 - weight).tolist()
+
+
 def op3_lm_score(docs: DataFrame, pieces: list[tuple[bytes, float]] | None = None, known_words: int = KNOWN_WORDS, passes: int = PASSES) -> DataFrame:
     """One row per document with its token counts, base score and lattice score.
 
@@ -277,34 +289,54 @@ def op3_lm_score(docs: DataFrame, pieces: list[tuple[bytes, float]] | None = Non
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = top.value
-        names = ["doc_id", "h", "train", "word", "times", "n_tokens", "n_known", "base", "log"]
+        names = ["doc_id", "h", "train", "word", "times", "keep", "add", "n_tokens", "n_known", "base", "log"]
+        keep, add, lost = repeats(1000)
         for batch in batches:
             out = [[] for _ in names]
             for at in range(batch.num_rows):
                 i, text, train, h = (batch.column(k)[at].as_py() for k in range(4))
-                found = Counter(split_words(text))
-                base, log, tokens, seen = end[0], end[1], 1, int(n_texts > 0)
+                places: dict[bytes, list[int]] = {}
+                tokens = 1
+                for k, w in enumerate(split_words(text)):
+                    places.setdefault(w, []).append(k)
+                    tokens += 1
+                if tokens > len(keep):
+                    keep, add, lost = repeats(2 * tokens)
+                base, log, seen = end[0], end[1] + lost[tokens - 1], int(n_texts > 0)
+                for column, value in zip(out, (i, h, train)):
+                    column.append(value)
                 rare = []
-                for w, times in found.items():
-                    tokens += times
+                for w, at_words in places.items():
+                    times = len(at_words)
+                    log += lost[at_words[0]]
                     if w in known:
-                        b, p, some = known[w]
-                        base, log, seen = base + times * b, log + times * p, seen + times * some
+                        b, own, some = known[w]
+                        base, log, seen = base + times * b, log + own, seen + times * some
+                        if times > 1:
+                            p = 10 ** own
+                            for j in range(1, times):
+                                k = at_words[j]
+                                log += log10(keep[k] * p + j * add[k])
                     else:
-                        rare.append((w, times))
-                for column, value in zip(out, (i, h, train, None, None, tokens, seen, base, log)):
+                        again = at_words[1:]
+                        rare.append((w, times, [keep[k] for k in again] if again else None,
+                                     [(j + 1) * add[k] for j, k in enumerate(again)] if again else None))
+                for column, value in zip(out[3:], (None, None, None, None, tokens, seen, base, log)):
                     column.append(value)
-                for w, times in rare:
-                    for column, value in zip(out, (i, h, None, w, times, None, None, None, None)):
+                for row in rare:
+                    for column, value in zip(out, (i, h, None, *row, None, None, None, None)):
                         column.append(value)
-            types = [batch.schema.field(0).type, pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+            types = [batch.schema.field(0).type, pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()),
+                     pa.int64(), pa.int64(), pa.float64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=names)
 
     walked = staged(rows.withColumn("h", F.xxhash64("text")).select("doc_id", "text", "train", "h").mapInArrow(
-        walk, f"doc_id {kind}, h long, train boolean, word binary, times long, n_tokens long, n_known long, base double, log double"), "lm-walk")
-    rare = walked.filter("word is not null").select("doc_id", "h", "word", "times").join(scored, "word").groupBy("doc_id", "h").agg(
+        walk, f"doc_id {kind}, h long, train boolean, word binary, times long, keep array<double>, add array<double>, n_tokens long, n_known long, base double, log double"), "lm-walk")
+    p = F.pow(F.lit(10.0), "log")
+    again = F.aggregate(F.zip_with("keep", "add", lambda k, a: F.log10(k * p + a)), F.lit(0.0), lambda x, y: x + y)
+    rare = walked.filter("word is not null").select("doc_id", "h", "word", "times", "keep", "add").join(scored, "word").groupBy("doc_id", "h").agg(
         F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("more_known"),
-        F.sum(F.col("times") * (F.log10(F.col("c") + 0.1) - norm)).alias("more_base"), F.sum(F.col("times") * F.col("log")).alias("more_log"))
+        F.sum(F.col("times") * (F.log10(F.col("c") + 0.1) - norm)).alias("more_base"), F.sum(F.col("log") + F.coalesce(again, F.lit(0.0))).alias("more_log"))
     # repeated rows (same identifier and text) share one group: their rare words were added up as often as they occur
     whole = walked.filter("word is null").groupBy("doc_id", "h").agg(
         F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("train", "n_tokens", "n_known", "base", "log")))
