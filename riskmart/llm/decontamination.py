@@ -147,10 +147,12 @@ SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {WORDS_SQL} AS w FROM documents),
 i AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {WORDS_SQL} AS w FROM benchmark),
 r AS (SELECT item, w, unnest(generate_series(1, greatest(len(w) - {WINDOW - 1}, 1))) AS s FROM i WHERE len(w) > 0),
-win AS (SELECT DISTINCT item, w[s : s + {WINDOW - 1}] AS terms, len(w[s : s + {WINDOW - 1}]) AS size FROM r),
+win AS (SELECT DISTINCT item, array_to_string(w[s : s + {WINDOW - 1}], ' ') AS terms, len(w[s : s + {WINDOW - 1}]) AS size FROM r),
 sizes AS (SELECT DISTINCT size FROM win),
-p AS (SELECT rid, w, unnest(generate_series(1, len(w))) AS s FROM d),
-hit AS (SELECT p.rid, p.s, win.size, win.item FROM p CROSS JOIN sizes JOIN win ON win.size = sizes.size AND win.terms = p.w[p.s : p.s + sizes.size - 1]),
+word AS (SELECT rid, unnest(w) AS word, generate_subscripts(w, 1) AS s FROM d),
+run AS (SELECT rid, s, list(word) OVER (PARTITION BY rid ORDER BY s ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING) AS g FROM word),
+sized AS (SELECT rid, s, size, array_to_string(g[1 : size], ' ') AS terms FROM run CROSS JOIN sizes WHERE len(g) >= size),
+hit AS (SELECT rid, s, size, item FROM sized JOIN win USING (size, terms)),
 places AS (SELECT rid, count(DISTINCT place) AS n_hit FROM (SELECT rid, unnest(generate_series(s, s + size - 1)) AS place FROM hit) GROUP BY rid),
 items AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed FROM (SELECT DISTINCT rid, item FROM hit) GROUP BY rid)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
