@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 import uuid
-import zlib
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from riskmart.session import shared_folder
 
@@ -33,6 +31,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+#: A join side is broadcast up to this many rows (each below 100 bytes); beyond it, the join is left to a shuffle.
+BROADCAST_ROWS = 200_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """The same rows, marked for broadcast if a count shows them to be few."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def fold(doc_id: Column, n: int) -> Column:
     """crc32 of the identifier as text, modulo n; a null identifier counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
@@ -100,14 +107,6 @@ def shingle_set(text: str | None, k: int) -> np.ndarray:
     return np.unique(shingles(word_hashes(text), k))
 
 
-def crc_text(value: object) -> int:
-    return zlib.crc32(b"" if value is None else str(value).encode())
-
-
-def empty_like(spark: SparkSession, schema: str | T.StructType) -> DataFrame:
-    return spark.createDataFrame([], schema)
-
-
 def components(edges: DataFrame, name: str, most_rounds: int = 64) -> DataFrame:
     """Connected components of undirected edges (a, b): rows (node, root), root the smallest node of a component.
 

@@ -15,15 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from riskmart.llm.common import staged
+from riskmart.llm.common import small, staged
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
 #: How many of its rarest words lead a window.
 LEADING = 3
-#: A side is broadcast up to this many rows (each below 100 bytes); beyond it, it is joined by a shuffle.
-BROADCAST_ROWS = 200_000
 
 
 def words(text: Column) -> Column:
@@ -36,11 +34,6 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """The same rows, marked for broadcast if a count shows them to be few."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
     """(item, window, terms): distinct runs of `size` words of each item; an item with fewer words, but any, is one run."""
     terms = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), words(F.col("text")).alias("all")).filter(F.size("all") > 0)
@@ -52,14 +45,14 @@ def windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
 def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, key, pos) for every occurrence of the given terms in the texts of docs; positions from 0."""
     spread = docs.select(text_key(F.col("text")).alias("key"), F.posexplode(words(F.col("text"))).alias("pos", "term"))
-    return spread.join(_small(terms.select("term").distinct()), "term")
+    return spread.join(small(terms.select("term").distinct()), "term")
 
 
 def _leading(runs: DataFrame, docs: DataFrame, leading: int) -> DataFrame:
     """(window, rank, offset, term, size): the rarest distinct places of each window that can occur, rarest first."""
     places = runs.select("window", "terms").distinct().select("window", F.size("terms").alias("size"), F.posexplode("terms").alias("offset", "term"))
     vocabulary = staged(places.select("term").distinct(), "leak-terms")
-    counts = staged(docs.select(F.explode(words(F.col("text"))).alias("term")).join(_small(vocabulary), "term").groupBy("term").agg(
+    counts = staged(docs.select(F.explode(words(F.col("text"))).alias("term")).join(small(vocabulary), "term").groupBy("term").agg(
         F.count("*").alias("n")), "leak-counts")
     known = places.join(counts, "term").withColumn("found", F.count("*").over(Window.partitionBy("window"))).filter("found = size")
     order = Window.partitionBy("window").orderBy("n", "term", "offset")
@@ -83,7 +76,7 @@ def occurrences(docs: DataFrame, items: DataFrame, size: int = WINDOW, leading:
     sets = runs.groupBy("window").agg(F.first("terms").alias("terms"), F.sort_array(F.collect_set("item")).alias("items"))
     near = staged(found, "leak-candidates").join(sets, "window").select("key", F.struct("start", "terms", "items").alias("c"))
     asked = staged(near.groupBy("key").agg(F.collect_set("c").alias("cs")), "leak-asked")
-    keys = _small(asked.select("key"))
+    keys = small(asked.select("key"))
     texts = docs.select(text_key(F.col("text")).alias("key"), "text").join(keys, "key", "leftsemi").dropDuplicates(["key"])
     checked = texts.select("key", words(F.col("text")).alias("all")).join(asked, "key").select("key", F.filter(
         "cs", lambda c: F.slice("all", c["start"] + 1, F.size(c["terms"])) == c["terms"]).alias("cs"))
@@ -128,7 +121,7 @@ def op1_decontamination(docs: DataFrame, items: DataFrame, size: int = WINDOW) -
     """
     hits = _per_text(occurrences(docs, items, size))
     rows = docs.select("doc_id", text_key(F.col("text")).alias("key"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
-    joined = rows.join(_small(staged(hits, "leak-hits")), "key", "left")
+    joined = rows.join(small(staged(hits, "leak-hits")), "key", "left")
     listed = F.concat_ws(",", F.coalesce("items", F.array().cast("array<string>")))
     return joined.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
                          F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
@@ -137,7 +130,7 @@ def op1_decontamination(docs: DataFrame, items: DataFrame, size: int = WINDOW) -
 
 def clean(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
     """The rows of docs, all columns, without documents that hold a window of an item."""
-    bad = _small(staged(occurrences(docs, items, size).select(F.col("key").alias("__leak")), "leak-bad"))
+    bad = small(staged(occurrences(docs, items, size).select(F.col("key").alias("__leak")), "leak-bad"))
     return docs.join(bad, text_key(F.col("text")) == F.col("__leak"), "leftanti")
 
 

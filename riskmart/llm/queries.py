@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskmart.llm import bpe, decontamination, fingerprints, lattice, quality, sharding, toxicity
+from riskmart.llm import bpe, decontamination, fingerprints, jaccard, lattice, quality, sharding, toxicity
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -16,6 +16,7 @@ def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": lambda s, d: decontamination.op1_decontamination(_read(s, d, "documents"), _read(s, d, "benchmark")),
+        "op2_jaccard": lambda s, d: jaccard.op2_jaccard(_read(s, d, "documents")),
         "op3_lm_score": lambda s, d: lattice.op3_lm_score(_read(s, d, "documents")),
         "op4_toxicity": lambda s, d: toxicity.op4_toxicity(_read(s, d, "documents"), _read(s, d, "labels")),
         "op6_fingerprints": lambda s, d: fingerprints.op6_fingerprints(_read(s, d, "documents")),
@@ -26,4 +27,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": decontamination.SQL}
+    return {"op1_decontamination": decontamination.SQL, "op2_jaccard": jaccard.SQL}
