@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskmart.llm import bpe, decontamination, fingerprints, jaccard, lattice, quality, sharding, toxicity
+from riskmart.llm import bpe, decontamination, fingerprints, jaccard, lattice, quality, sharding, suffixes, toxicity
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_fingerprints": lambda s, d: fingerprints.op6_fingerprints(_read(s, d, "documents")),
         "op7_quality": lambda s, d: quality.op7_quality(_read(s, d, "documents"), _read(s, d, "labels")),
         "op8_bpe": lambda s, d: bpe.op8_bpe(_read(s, d, "documents")),
+        "op9_suffix_dedup": lambda s, d: suffixes.op9_suffix_dedup(_read(s, d, "documents")),
         "op10_sharding": lambda s, d: sharding.op10_sharding(_read(s, d, "documents")),
     }
 
