@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskmart.llm import bpe, decontamination, fingerprints, jaccard, lattice, quality, sharding, suffixes, toxicity
+from riskmart.llm import bpe, decontamination, fingerprints, jaccard, lattice, pages, quality, sharding, suffixes, toxicity
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_jaccard": lambda s, d: jaccard.op2_jaccard(_read(s, d, "documents")),
         "op3_lm_score": lambda s, d: lattice.op3_lm_score(_read(s, d, "documents")),
         "op4_toxicity": lambda s, d: toxicity.op4_toxicity(_read(s, d, "documents"), _read(s, d, "labels")),
+        "op5_main_text": lambda s, d: pages.op5_main_text(_read(s, d, "pages")),
         "op6_fingerprints": lambda s, d: fingerprints.op6_fingerprints(_read(s, d, "documents")),
         "op7_quality": lambda s, d: quality.op7_quality(_read(s, d, "documents"), _read(s, d, "labels")),
         "op8_bpe": lambda s, d: bpe.op8_bpe(_read(s, d, "documents")),
