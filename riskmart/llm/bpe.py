@@ -137,8 +137,8 @@ class Encoder:
         return self.encoding.decode(array("I", ids).tolist())
 
 
-def encode(docs: DataFrame, ranks: bytes | None = None, keep: bool = False) -> DataFrame:
-    """doc_id, n_tokens and the digests of ids and decoded text of every row; with keep, ids and decoded text too.
+def encode(docs: DataFrame, ranks: bytes | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_tokens and the digests of ids and decoded text of every row; `keep` may add "ids" and "decoded".
 
     Documents are dealt to ranges of (smallest chunk hash, text hash, row): a hot group of copies spreads over several
     ranges and is encoded once in each.
@@ -147,6 +147,11 @@ def encode(docs: DataFrame, ranks: bytes | None = None, keep: bool = False) -> D
     shared = spark.sparkContext.broadcast(ranks or vocabulary())
     kind = docs.schema["doc_id"].dataType.simpleString()
 
+    extra = {"ids": ("array<int>", pa.list_(pa.int32())), "decoded": ("string", pa.string())}
+    more = [c for c in extra if c in keep]
+    types = [pa.int64(), pa.string(), pa.string(), *(extra[c][1] for c in more)]
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *more]
+
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((smallest_chunk(x.as_py()) for x in batch.column(1)), pa.int64())],
@@ -162,21 +167,21 @@ def encode(docs: DataFrame, ranks: bytes | None = None, keep: bool = False) -> D
                     ids = encoder.ids(x)
                     decoded = encoder.text(ids)
                     row = (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
-                    if keep:
-                        row += (np.frombuffer(ids, "<u4").astype(np.int32), decoded)
+                    if "ids" in keep:
+                        row += (np.frombuffer(ids, "<u4").astype(np.int32),)
+                    if "decoded" in keep:
+                        row += (decoded,)
                     before = x
                 found.append(row)
-            columns = list(zip(*found)) or [()] * (5 if keep else 3)
-            types = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types))],
-                                             names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][:len(columns) + 1])
+            columns = list(zip(*found)) or [()] * len(types)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types))], names=names)
 
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     keyed = rows.mapInArrow(key, f"doc_id {kind}, text string, near long").withColumn("h", F.xxhash64("text"))
     order = ["near", "h", "spread"]
     placed = keyed.withColumn("spread", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions("near", "h")
     return placed.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep)
+        run, ", ".join([f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string", *(f"{c} {extra[c][0]}" for c in more)]))
 
 
 def op8_bpe(docs: DataFrame, ranks: bytes | None = None) -> DataFrame:

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskmart.llm.common import fold
 
@@ -269,10 +270,7 @@ def score(docs: DataFrame, model: tuple[Kernel, Machine]) -> DataFrame:
     """All columns of docs and `score`; the vector of a text is formed from all its words."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     own = docs.columns
-    boxed = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")) \
-        if len(set(map(str.lower, own))) == len(own) else None
-    if boxed is None:
-        raise ValueError("column names must differ in more than case")
+    boxed = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kernel, machine = shared.value
@@ -283,7 +281,12 @@ def score(docs: DataFrame, model: tuple[Kernel, Machine]) -> DataFrame:
                 s = machine.score(texts([t.as_py() for t in part.column(1)]).astype(float))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s, pa.float64())], names=["row", "score"])
 
-    return boxed.mapInArrow(run, f"row {boxed.schema['row'].dataType.simpleString()}, score double")
+    return boxed.mapInArrow(run, T.StructType([T.StructField("row", boxed.schema["row"].dataType), T.StructField("score", T.DoubleType())]))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs, all columns, whose score is below the threshold; learned from the labels as in op4_toxicity."""
+    return score(docs, train(docs, labels)).filter(F.col("score") < threshold).select(*(F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def op4_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
