@@ -118,7 +118,7 @@ def _suffixes(texts: DataFrame, shared: DataFrame, hot: DataFrame, passage: int,
     rows = texts.select("__o", "__d", F.col("text").cast("string").alias("text"))
     found = rows.mapInArrow(read, "seed long, right binary, left binary, o long, d long, pos long").distinct()
     if known is None:
-        found = found.join(shared.union(hot), "seed", "leftsemi")
+        found = found.filter("right is not null").join(shared, "seed", "leftsemi").union(found.filter("right is null"))
     return staged(found, "suffix-kept")
 
 
