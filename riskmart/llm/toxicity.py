@@ -22,10 +22,12 @@ from pyspark.sql import types as T
 from riskmart.llm.common import fold
 
 #: Subsequences of this many letters, spanning at most SPAN; DECAY weighs a letter of the span.
-ORDER, SPAN, DECAY = 3, 7, 0.6
+ORDER, SPAN, DECAY = 3, 7, 0.8
 #: Kernel values below this count as 0, so most words leave no trace in a text.
-FLOOR = 0.35
+FLOOR = 0.5
 LANDMARKS = 96
+#: A landmark is this many standard deviations more frequent in toxic rows than expected; the best LEAST stay in any case.
+EXCESS, LEAST = 2.0, 4
 #: Rows of each class that the machine is trained on, chosen by a hash of the identifier: a documented bound.
 ROWS = 6000
 #: Known words kept by one worker.
@@ -37,10 +39,12 @@ _SPELLED = re.compile(r"\b(?:[^\W\d_][\s.\-*_]{1,2}){3,}[^\W\d_]\b")
 
 
 def words(text: str | None) -> set[str]:
-    """Distinct lower-case words of a whole text, without marks at their ends; letters spelled out one by one join."""
+    """Distinct lower-case words of a whole text, without marks at their ends; words with marks inside also without
+    these, and letters spelled out one by one join."""
     text = (text or "").lower()
     found = set(text.split())
     out = {m[0] for w in found if (m := _WORD.search(w))}
+    out |= {"".join(filter(str.isalnum, w)) for w in out if not w.isalnum()}
     for m in _SPELLED.finditer(text):
         out.add("".join(c for c in m[0] if c.isalnum()))
     return out
@@ -246,8 +250,9 @@ def train(docs: DataFrame, labels: DataFrame, landmarks: int = LANDMARKS, rows:
     n = {int(r[0]): r[1] for r in n}
     scale = n.get(1, 0) / max(n.get(0, 0), 1)
     excess = (F.col("toxic") - F.col("clean") * scale) / F.sqrt(F.col("toxic") + F.col("clean") * scale + 1)
-    top = [r[0] for r in counts.filter((F.length("word") >= ORDER) & (F.length("word") <= 40) & (F.col("toxic") > 0)).orderBy(
-        excess.desc(), "word").limit(landmarks).select("word").collect()]
+    ranked_words = counts.filter((F.length("word") >= ORDER) & (F.length("word") <= 40) & (F.col("toxic") > 0)).orderBy(
+        excess.desc(), "word").limit(landmarks).select("word", excess.alias("excess")).collect()
+    top = [r["word"] for k, r in enumerate(ranked_words) if k < LEAST or r["excess"] >= EXCESS]
     kernel = Kernel(sorted(top))
     shared = spark.sparkContext.broadcast(kernel)
 
