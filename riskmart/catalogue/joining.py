@@ -36,12 +36,13 @@ def _(t):
 @query("join_dims_left", """
 SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice, p_brand, p_type, s_name, n_name, r_name
 FROM lineitem
-LEFT JOIN (SELECT * FROM part WHERE p_size <= 40) p ON p_partkey = l_partkey
+LEFT JOIN (SELECT * REPLACE (CASE WHEN p_size > 40 THEN -p_partkey ELSE p_partkey END AS p_partkey) FROM part) p ON p_partkey = l_partkey
 LEFT JOIN supplier ON s_suppkey = l_suppkey LEFT JOIN nation ON n_nationkey = s_nationkey
 LEFT JOIN region ON r_regionkey = n_regionkey""")
 def _(t):
     out = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    part = t.part.where("p_size <= 40").withColumnRenamed("p_partkey", "l_partkey")
+    # parts above size 40 carry an unknown key, so their lines miss
+    part = t.part.withColumn("l_partkey", F.when(F.col("p_size") > 40, -F.col("p_partkey")).otherwise(F.col("p_partkey")))
     out = frames.enrich(out, part, ["p_brand", "p_type"], "l_partkey", drop_key=False)
     out = frames.enrich(out, t.supplier, ["s_name", "s_nationkey"], "l_suppkey", "s_suppkey").drop("s_suppkey")
     out = frames.enrich(out, t.nation, ["n_name", "n_regionkey"], "s_nationkey", "n_nationkey").drop("n_nationkey")
@@ -50,9 +51,9 @@ def _(t):
 
 @query("join_diff_keys", """
 SELECT o_orderkey, o_totalprice, c_custkey, c_mktsegment FROM orders
-LEFT JOIN (SELECT * FROM customer WHERE c_nationkey < 20) ON c_custkey = o_custkey""")
+LEFT JOIN (SELECT * REPLACE (CASE WHEN c_nationkey >= 20 THEN -1 - c_custkey ELSE c_custkey END AS c_custkey) FROM customer) ON c_custkey = o_custkey""")
 def _(t):
-    return frames.enrich(t.orders.select("o_orderkey", "o_totalprice", "o_custkey"), t.customer.where("c_nationkey < 20"),
+    return frames.enrich(t.orders.select("o_orderkey", "o_totalprice", "o_custkey"), t.customer.withColumn("c_custkey", F.when(F.col("c_nationkey") >= 20, -1 - F.col("c_custkey")).otherwise(F.col("c_custkey"))),
                          ["c_mktsegment"], "o_custkey", "c_custkey")
 
 
@@ -68,13 +69,14 @@ def _(t):
     return joined.select(K.ID, K.CUSTOMER, K.VINTAGE, "event_id", F.datediff(K.CUTOFF, "day").alias("DIAS"))
 
 
-_SPEND = """SELECT o_custkey AS c_custkey, count(*) AS QTD_PEDIDOS,
-  CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS var_total FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01'
-  GROUP BY o_custkey"""
+#: Spending of all orders; every seventh customer's key is turned into an unknown one, which makes the misses.
+_SPEND = """SELECT CASE WHEN o_custkey % 7 = 0 THEN -1 - o_custkey ELSE o_custkey END AS c_custkey, count(*) AS QTD_PEDIDOS,
+  CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS var_total FROM orders GROUP BY o_custkey"""
 
 
 def _spend(t):
-    return (t.orders.where("o_orderdate < TIMESTAMP_NTZ '1996-01-01'").groupBy(F.col("o_custkey").alias("c_custkey"))
+    known = F.when(F.col("o_custkey") % 7 == 0, -1 - F.col("o_custkey")).otherwise(F.col("o_custkey"))
+    return (t.orders.groupBy(known.alias("c_custkey"))
             .agg(F.count("*").alias("QTD_PEDIDOS"),
                  F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("var_total")))
 

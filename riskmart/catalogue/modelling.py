@@ -23,7 +23,7 @@ FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "p_size", "p
 def line_table(t) -> DataFrame:
     """Line items with part attributes; target: a net amount that is high for the part size."""
     rows = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(
-        F.xxhash64("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate").alias("id"),
+        F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").alias("id"),
         (F.year("l_shipdate") * 100 + F.month("l_shipdate")).alias("SAFRA"),
         F.when(F.col("l_linenumber") == 7, F.lit(None)).otherwise(F.col("l_quantity")).alias("l_quantity"),
         "l_extendedprice", "l_discount", "l_tax", "p_size", "p_retailprice",
@@ -32,6 +32,18 @@ def line_table(t) -> DataFrame:
     return rows
 
 
+LINES_SQL = f"""
+SELECT concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber) AS id, CAST(year(l_shipdate) * 100 + month(l_shipdate) AS INTEGER) AS SAFRA,
+  CASE WHEN l_linenumber <> 7 THEN l_quantity END AS l_quantity, l_extendedprice, l_discount, l_tax, p_size, p_retailprice,
+  CAST(coalesce(l_linestatus = 'O', false) AS INTEGER) AS {K.INSTALLED},
+  CAST(l_extendedprice * (1 - l_discount) > 25000 + 300 * p_size AS INTEGER) AS {K.TARGET}
+FROM lineitem JOIN part ON l_partkey = p_partkey"""
+
+
+def _chosen(fraction: float) -> str:
+    return f"substr(md5('{K.SEED}:' || id), 1, 8) < '{round(fraction * 16 ** 8):08x}'"
+
+
 def _pair(t) -> tuple[DataFrame, DataFrame]:
     """Training and later-vintage rows, stored once because every fit reads them many times."""
     df = cut_lineage(line_table(t))
@@ -46,16 +58,18 @@ def _evaluated(model, oot, flag: bool = False) -> DataFrame:
 
 # --- samples -----------------------------------------------------------------
 
-@query("sample_train")
+@query("sample_train", f"""
+SELECT *, CASE WHEN SAFRA // 100 = 2001 THEN 'oot' ELSE 'treino' END AS split FROM ({LINES_SQL}) WHERE SAFRA // 100 = 2001 OR {_chosen(0.2)}""")
 def _(t):
     train, oot = _pair(t)
-    s = splits.sample_train({"x": {splits.TRAIN: train, splits.OOT: oot}}, 0.2)["x"]
+    s = splits.sample_train({"x": {splits.TRAIN: train, splits.OOT: oot}}, 0.2, "id")["x"]
     return s[splits.TRAIN].withColumn("split", F.lit("treino")).unionByName(s[splits.OOT].withColumn("split", F.lit("oot")))
 
 
-@query("sample_stratified")
+@query("sample_stratified", f"""
+SELECT * FROM ({LINES_SQL}) WHERE {K.TARGET} = 0 AND {_chosen(0.25)} OR {K.TARGET} = 1 AND {_chosen(0.5)}""")
 def _(t):
-    return splits.sample_stratified(line_table(t), K.TARGET, 0.35)
+    return splits.sample_stratified(line_table(t), K.TARGET, {0: 0.25, 1: 0.5}, "id")
 
 
 @query("sample_hashed", f"SELECT * FROM orders WHERE substr(md5('42:' || CAST(o_orderkey AS VARCHAR)), 1, 8) < '{round(0.35 * 16 ** 8):08x}'")
@@ -128,7 +142,7 @@ def _(t):
 @query("imp_permutation")
 def _(t):
     train, oot = _pair(t)
-    return I.permutation_importance(E.fit("lr", train, FEATURES), oot, "id", n_repeats=3)
+    return I.permutation_importance(E.fit("lr", train, FEATURES), oot, "id")
 
 
 @query("imp_native")

@@ -21,10 +21,15 @@ def _(t):
     return stats.correlation_with(df, "alvo", _COLUMNS).withColumn("corr", F.round("corr", 8))
 
 
-@query("stat_corr_matrix", " UNION ALL ".join(
-    f"SELECT '{a}' AS variavel_1, '{b}' AS variavel_2, round(corr({a}, {b}), 8) AS corr FROM lineitem" for a, b in combinations(_COLUMNS, 2)))
+#: 32 columns, every one with nulls in other rows.
+_WIDE = {f"{c}_{k}": f"CASE WHEN (l_orderkey + l_linenumber * {k + 2}) % {k + 5} > 0 THEN {c} * (1 + (l_partkey % {k + 3}) * {k}) END" for c in _COLUMNS for k in range(8)}
+_WIDE_SQL = "SELECT " + ", ".join(f"{e} AS {n}" for n, e in _WIDE.items()) + " FROM lineitem"
+
+
+@query("stat_corr_matrix", f"WITH w AS ({_WIDE_SQL}) " + " UNION ALL ".join(
+    f"SELECT '{a}' AS variavel_1, '{b}' AS variavel_2, round(corr({a}, {b}), 8) AS corr FROM w" for a, b in combinations(_WIDE, 2)))
 def _(t):
-    return stats.correlation_pairs(t.lineitem, _COLUMNS).withColumn("corr", F.round("corr", 8))
+    return stats.correlation_pairs(t.lineitem.selectExpr(*[f"{e} AS {n}" for n, e in _WIDE.items()]), list(_WIDE)).withColumn("corr", F.round("corr", 8))
 
 
 _PART = ["p_size", "p_retailprice", "p_half"]
@@ -55,9 +60,13 @@ def _(t):
     return stats.proportion_test(scored(t), "y_true", F.col("flag") == 1).drop("p_value", "verdict").withColumn("z", F.round("z", 9))
 
 
-@query("stat_ztest_verdict")
+@query("stat_ztest_verdict", f"""
+WITH s AS (SELECT sum(y_true) FILTER (flag = 1) AS x1, count(*) FILTER (flag = 1) AS n1,
+  sum(y_true) FILTER (flag = 0) AS x2, count(*) FILTER (flag = 0) AS n2 FROM ({SCORED_SQL})),
+z AS (SELECT (x1 / n1 - x2 / n2) / sqrt(((x1 + x2) / (n1 + n2)) * (1 - (x1 + x2) / (n1 + n2)) * (1.0::DOUBLE / n1 + 1.0::DOUBLE / n2)) AS z FROM s)
+SELECT round(z, 9) AS z, CASE WHEN abs(z) > 1.959963984540054 THEN 'Significante (H0 Rejeitada)' ELSE 'Não Significante (Falha em rejeitar H0)' END AS verdict FROM z""")
 def _(t):
-    return stats.proportion_test(scored(t), "y_true", F.col("flag") == 1).select("z", "p_value", "verdict")
+    return stats.proportion_test(scored(t), "y_true", F.col("flag") == 1).select(F.round("z", 9).alias("z"), "verdict")
 
 
 @query("stat_binomial_sim")

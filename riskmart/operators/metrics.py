@@ -290,17 +290,17 @@ def by_vintage(scored: DataFrame, y: str, p: str, vintage: str, oot_flag: str |
     return out.orderBy(vintage)
 
 
-def reject_worst(scored: DataFrame, p: str, key: str, fraction: float, ranges: int | None = None) -> DataFrame:
+def reject_worst(scored: DataFrame, p: str, key: str, fraction: float) -> DataFrame:
     """Mark the worst ``fraction`` of the rows (floor of n times fraction) as rejected."""
-    ranked = row_positions(scored, p, key, descending=True, ranges=ranges)
+    ranked = row_positions(scored, p, key, descending=True)
     limit = F.floor(F.col("n_rows") * F.lit(float(fraction)))
     return ranked.withColumn("rejected", (F.col("position") <= limit).cast("int"))
 
 
 def simulate_cutoff(scored: DataFrame, y: str, p: str, key: str, fractions: Sequence[float],
-                    baseline_rate: float, ranges: int | None = None) -> DataFrame:
+                    baseline_rate: float) -> DataFrame:
     """Default rate of the approved and of the rejected part for each rejection rate."""
-    ranked = row_positions(scored, p, key, descending=True, ranges=ranges)
+    ranked = row_positions(scored, p, key, descending=True)
     cells = []
     for f in fractions:
         out = F.col("position") <= F.floor(F.col("n_rows") * F.lit(float(f)))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from riskmart.functions.text import clean_label
 from riskmart.functions.values import as_column, flag
 
+#: Most values that become columns when the caller neither gives a domain nor another bound.
 MAX_DOMAIN = 1000
 
 
@@ -45,16 +46,18 @@ def flag_columns(c: Column | str, domain: Sequence, prefix: str) -> dict[str, Co
     return {n: F.max(flag(_is_any(c, vs))) for n, vs in columns_of(prefix, domain).items()}
 
 
-def pivot_counts(df: DataFrame, key: str, column: str, prefix: str, domain: Sequence | None = None) -> DataFrame:
+def pivot_counts(df: DataFrame, key: str, column: str, prefix: str, domain: Sequence | None = None,
+                 max_size: int = MAX_DOMAIN) -> DataFrame:
     """``QTD_<prefix>_<category>`` frequency columns per key."""
-    domain = discover_domain(df, column) if domain is None else domain
+    domain = discover_domain(df, column, max_size) if domain is None else domain
     aggs = count_columns(column, domain, f"QTD_{prefix}_")
     return df.groupBy(key).agg(*[c.alias(n) for n, c in aggs.items()])
 
 
-def pivot_flags(df: DataFrame, key: str, column: str, prefix: str, domain: Sequence | None = None) -> DataFrame:
+def pivot_flags(df: DataFrame, key: str, column: str, prefix: str, domain: Sequence | None = None,
+                 max_size: int = MAX_DOMAIN) -> DataFrame:
     """``FLG_<prefix>_<category>`` 0/1 columns per key."""
-    domain = discover_domain(df, column) if domain is None else domain
+    domain = discover_domain(df, column, max_size) if domain is None else domain
     aggs = flag_columns(column, domain, f"FLG_{prefix}_")
     return df.groupBy(key).agg(*[c.alias(n) for n, c in aggs.items()])
 

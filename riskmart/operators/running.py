@@ -14,6 +14,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskmart.session import stored
+
 MAX_RANGES = 10_000
 _RANGE = "__range"
 
@@ -154,23 +156,21 @@ def exact_quantiles(
         for i, n in enumerate(names)])
 
 
-def row_positions(df: DataFrame, score: str, tie: str, descending: bool = True,
-                  ranges: int | None = None) -> DataFrame:
+def row_positions(df: DataFrame, score: str, tie: str, descending: bool = True) -> DataFrame:
     """Add ``position`` (1..n by score, ties by ascending ``tie``) and ``n_rows``.
 
-    Two levels: the running count of distinct scores gives the start of each tie
-    group; inside a tie group rows are ranked by ``tie`` ranges, so one score shared
-    by a large part of the table is still spread over many tasks. ``tie`` must be a
-    unique numeric id and ``score`` must not be null.
+    Rows are sorted in ranges of (score, tie), so a score shared by a large part of the table is spread by its ties,
+    and stored; each range then starts from the number of rows before it. One shuffle of the data, one number for each
+    range on the driver. ``tie`` may have any sortable type and must be unique; null scores come last.
     """
-    score_cuts, tie_cuts = range_cuts_of(df, [F.col(score), F.col(tie)], ranges)
-    ranged = with_range(df, F.col(tie), tie_cuts)
-    one = {"n": F.lit(1)}
-    groups = df.groupBy(F.col(score).alias("__score")).agg(F.count("*").alias("n"))
-    starts = running_totals(groups, "__score", ["n"], descending=descending, cuts=score_cuts).select(
-        "__score", (F.col("cum_n") - F.col("n")).alias("__start"), F.col("tot_n").alias("__all"))
-    inside = _range_offsets(ranged, one, [score], descending=False)
-    offsets = inside.join(starts, F.col(score) == F.col("__score")).select(
-        score, _RANGE, (F.col("__add_n") + F.col("__start")).alias("__add_n"), F.col("__all").alias("tot_n"))
-    out = _running(ranged, offsets, tie, one, [score], False, df.columns)
-    return out.withColumnsRenamed({"cum_n": "position", "tot_n": "n_rows"})
+    order = [F.col(score).desc_nulls_last() if descending else F.col(score).asc_nulls_last(), F.col(tie).asc()]
+    ranged = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
+                    .withColumn("__at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "positions")
+    start, offsets = 0, []
+    for part, n in sorted(tuple(r) for r in ranged.groupBy("__part").count().collect()):
+        offsets.append((part, start))
+        start += n
+    known = df.sparkSession.createDataFrame(offsets or [(0, 0)], "__part int, __start long")
+    return ranged.join(F.broadcast(known), "__part").select(
+        *[F.col(f"`{c}`") for c in df.columns], (F.col("__start") + F.col("__at") + 1).alias("position"),
+        F.lit(start).cast("long").alias("n_rows"))

@@ -70,35 +70,46 @@ def prepare(tables: Mapping[str, DataFrame], oot: Sequence[int] = K.OOT_VINTAGES
 
 # --- samples -----------------------------------------------------------------
 
-def sample_train(splits: Splits, fraction: float, seed: int = K.SEED) -> Splits:
-    """Bernoulli sample of the train side only; the out-of-time side stays whole."""
+def _hash(key: str, seed: int) -> Column:
+    """Hexadecimal hash of seed and key, the same in every engine."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+
+
+def _below(key: str, fraction: Column | float, seed: int) -> Column:
+    """Whether the key's hash, read as a number between 0 and 1, is below the fraction."""
+    head = F.conv(F.substring(_hash(key, seed), 1, 8), 16, 10).cast("long")
+    return head < F.round(F.lit(fraction) * 16 ** 8)
+
+
+def sample_train(splits: Splits, fraction: float, key: str = K.ID, seed: int = K.SEED) -> Splits:
+    """Sample of the train side by the hash of the key; the out-of-time side stays whole.
+
+    The rows depend on the key and the seed alone, not on the layout of the table or the size of the cluster.
+    """
     if not 0 < fraction <= 1:
         raise ValueError("fraction must be in (0, 1]")
     if fraction == 1:
         return splits
-    return {t: {**s, TRAIN: s[TRAIN].sample(False, fraction, seed)} for t, s in splits.items()}
+    return {t: {**s, TRAIN: sample_hashed(s[TRAIN], key, fraction, seed)} for t, s in splits.items()}
 
 
-def sample_stratified(df: DataFrame, target: str, fraction: float | Mapping, seed: int = K.SEED) -> DataFrame:
-    """Sample by target class; rows without a target are left out.
+def sample_stratified(df: DataFrame, target: str, fraction: float | Mapping, key: str = K.ID, seed: int = K.SEED) -> DataFrame:
+    """Sample by target class, by the hash of the key; rows without a target are left out.
 
-    A number applies to every class, a mapping gives the fraction per class.
+    A number applies to every class, a mapping gives the fraction per class; a class it does not name is left out.
     """
     known = df.where(F.col(target).isNotNull())
-    if isinstance(fraction, Mapping):
-        return known.sampleBy(target, dict(fraction), seed)
-    return known.sample(False, fraction, seed)
-
-
-def _hash(key: str, seed: int) -> Column:
-    """Hexadecimal hash of seed and key, the same in every engine."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+    if not isinstance(fraction, Mapping):
+        return sample_hashed(known, key, fraction, seed)
+    kept = F.lit(False)
+    for value, part in fraction.items():
+        kept = kept | ((F.col(target) == value) & _below(key, part, seed))
+    return known.where(kept)
 
 
 def sample_hashed(df: DataFrame, key: str, fraction: float, seed: int = K.SEED) -> DataFrame:
     """Sample that depends only on the key: stable under any partitioning and reproducible elsewhere."""
-    limit = f"{round(fraction * 16 ** 8):08x}"
-    return df if fraction >= 1 else df.where(F.substring(_hash(key, seed), 1, 8) < limit)
+    return df if fraction >= 1 else df.where(_below(key, fraction, seed))
 
 
 def sample_capped(df: DataFrame, key: str, size: int, seed: int = K.SEED) -> DataFrame:

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
-from itertools import combinations
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,9 +15,6 @@ from pyspark.sql import types as T
 from riskmart.operators.running import (exact_quantiles, range_cuts, running_totals, shared_cuts,
                                         value_counts)
 
-PAIRS_IN_ONE_AGGREGATE = 200
-
-
 def correlation_with(df: DataFrame, target: str, columns: Sequence[str]) -> DataFrame:
     """Pearson correlation of each column with the target, strongest first."""
     row = df.agg(*[F.corr(F.col(c).cast("double"), F.col(target).cast("double")).alias(c) for c in columns])
@@ -27,23 +23,39 @@ def correlation_with(df: DataFrame, target: str, columns: Sequence[str]) -> Data
 
 
 def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson correlation of every column pair (lower triangle), long format.
+    """Pearson correlation of every column pair (lower triangle), long format; nulls leave pair by pair.
 
-    A few columns are handled as one aggregate; many columns go through the
-    distributed Gramian of ``Correlation``, whose result is columns x columns.
+    One way for any number of columns: each task adds up counts, sums and products of all pairs as matrices of its
+    rows, shifted by the column means, and one grouping adds the tasks. Null where a pair has no variation.
     """
-    pairs = list(combinations(columns, 2))
-    if len(pairs) <= PAIRS_IN_ONE_AGGREGATE:
-        row = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"c{i}")
-                       for i, (a, b) in enumerate(pairs)])
-        cells = F.explode(F.array(*[F.struct(F.lit(a).alias("variavel_1"), F.lit(b).alias("variavel_2"),
-                                             F.col(f"c{i}").alias("corr")) for i, (a, b) in enumerate(pairs)]))
-        return row.select(cells.alias("s")).select("s.*")
-    vectors = VectorAssembler(inputCols=list(columns), outputCol="__v", handleInvalid="skip").transform(
-        df.select(*[F.col(c).cast("double").alias(c) for c in columns])).select("__v")
-    matrix = Correlation.corr(vectors, "__v").first()[0].toArray()
-    rows = [(columns[i], columns[j], float(matrix[i][j])) for i, j in combinations(range(len(columns)), 2)]
-    return df.sparkSession.createDataFrame(rows, "variavel_1 string, variavel_2 string, corr double")
+    columns = list(columns)
+    n = len(columns)
+    wide = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    means = [v or 0.0 for v in wide.agg(*[F.avg(f"c{i}") for i in range(n)]).first()] if n else []
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((4, n, n))
+        for batch in batches:
+            x = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(n)]) - means
+            known = np.column_stack([batch.column(i).is_valid().to_numpy(zero_copy_only=False) for i in range(n)]).astype(float)
+            x = np.where(known == 1, x, 0.0)
+            total += np.stack([known.T @ known, x.T @ known, (x * x).T @ known, x.T @ x])
+        i, j = np.triu_indices(n, 1)
+        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), *[pa.array(v) for v in (
+            total[0, i, j], total[1, i, j], total[1, j, i], total[2, i, j], total[2, j, i], total[3, i, j])]],
+            names=["i", "j", "n", "sx", "sy", "sxx", "syy", "sxy"])
+
+    added = wide.mapInArrow(sums, "i int, j int, " + ", ".join(f"{c} double" for c in ("n", "sx", "sy", "sxx", "syy", "sxy"))).groupBy(
+        "i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+
+    def spread(s: str, q: str) -> Column:
+        return F.col(q) - F.col(s) * F.col(s) / F.col("n")
+
+    joint = F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")
+    names = F.array(*[F.lit(c) for c in columns])
+    return added.select(F.element_at(names, F.col("i") + 1).alias("variavel_1"), F.element_at(names, F.col("j") + 1).alias("variavel_2"),
+                        F.when((F.col("n") > 0) & (spread("sx", "sxx") > 0) & (spread("sy", "syy") > 0),
+                               joint / F.sqrt(spread("sx", "sxx") * spread("sy", "syy"))).alias("corr"))
 
 
 def average_ranks(df: DataFrame, column: str, by: Sequence[str] = (), ranges: int | None = None,

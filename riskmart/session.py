@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import logging
 import tempfile
+import uuid
 from collections.abc import Mapping
 from pathlib import Path
 
@@ -74,6 +75,13 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="riskmart-")
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write the rows as Parquet below the shared folder and read them back: columnar, reachable by every executor."""
+    folder = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise through a reliable checkpoint, so a lost executor loses nothing."""
     sc = df.sparkSession.sparkContext

@@ -78,13 +78,15 @@ def test_splits_and_counts(spark):
 def test_samples(spark):
     df = spark.range(20_000).select("id", (F.col("id") % 4 == 0).cast("int").alias("y"))
     pair = {"t": {"treino": df, "oot": df}}
-    out = splits.sample_train(pair, 0.2)["t"]
+    out = splits.sample_train(pair, 0.2, "id")["t"]
+    again = splits.sample_train({"t": {"treino": df.repartition(50), "oot": df}}, 0.2, "id")["t"]
+    assert out["treino"].exceptAll(again["treino"]).isEmpty() and again["treino"].exceptAll(out["treino"]).isEmpty()
     assert out["oot"].count() == 20_000 and 3500 < out["treino"].count() < 4500
     for bad in (0, 1.5):
         with pytest.raises(ValueError):
             splits.sample_train(pair, bad)
     assert splits.sample_train(pair, 1) is pair
-    by_class = splits.sample_stratified(df.union(df.limit(5).select("id", F.lit(None).cast("int"))), "y", {0: 0.1, 1: 0.5})
+    by_class = splits.sample_stratified(df.union(df.limit(5).select("id", F.lit(None).cast("int"))), "y", {0: 0.1, 1: 0.5}, "id")
     n = dict(by_class.groupBy("y").count().collect())
     assert set(n) == {0, 1} and 1300 < n[0] < 1700 and 2300 < n[1] < 2700
     hashed = splits.sample_hashed(df, "id", 0.3)
@@ -129,12 +131,19 @@ def test_rankings(spark):
     assert [r.acumulado for r in ranking.cumulative_share(df, "w", "f").orderBy("acumulado").collect()] == [3.0, 4.0, 5.0]
 
 
-def test_spearman_on_many_columns_uses_the_gramian(spark):
-    df = spark.range(60).select("id", *[((F.col("id") * (i + 3)) % 17 + F.rand(i)).alias(f"c{i}") for i in range(21)])
-    names = [f"c{i}" for i in range(21)]
-    wide = {(r[0], r[1]): r[2] for r in stats.correlation_pairs(df, names).collect()}
-    narrow = {(r[0], r[1]): r[2] for r in stats.correlation_pairs(df, names[:4]).collect()}
-    assert len(wide) == 210 and all(abs(wide[k] - v) < 1e-9 for k, v in narrow.items())
+def test_correlations_do_not_depend_on_the_number_of_columns(spark):
+    """Nulls leave pair by pair, also where every row has a null somewhere."""
+    df = spark.range(300).select("id", *[F.when((F.col("id") + i) % 7 > 0, (F.col("id") * (i + 3)) % 17 + F.rand(i)).alias(f"c{i}") for i in range(35)],
+                                 F.lit(3.0).alias("flat"), F.lit(None).cast("double").alias("none"))
+    names = [f"c{i}" for i in range(35)] + ["flat", "none"]
+    got = {(r[0], r[1]): r[2] for r in stats.correlation_pairs(df.repartition(5), names).collect()}
+    few = {(r[0], r[1]): r[2] for r in stats.correlation_pairs(df, names[:4]).collect()}
+    assert len(got) == 37 * 36 // 2 and all(abs(got[k] - v) < 1e-9 for k, v in few.items())
+    want = df.agg(*[F.corr("c0", f"c{i}").alias(f"c{i}") for i in range(1, 35)]).first().asDict()
+    assert all(abs(got["c0", c] - v) < 1e-9 for c, v in want.items())
+    assert got["c0", "flat"] is None and got["flat", "none"] is None
+    ranks = stats.spearman_pairs(df, names[:24], "id").collect()
+    assert len(ranks) == 24 * 23 // 2 and all(r["rho"] is not None for r in ranks)
 
 
 def test_proportion_test(spark):

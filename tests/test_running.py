@@ -39,17 +39,28 @@ def test_row_positions_break_ties_by_id(spark):
     rows = [(i, rnd.choice([0.5, 0.5, 0.5, rnd.random()])) for i in range(400)]
     rnd.shuffle(rows)
     df = spark.createDataFrame(rows, "id bigint, p double")
-    got = {r.id: r.position for r in running.row_positions(df, "p", "id", ranges=9).collect()}
+    got = {r.id: r.position for r in running.row_positions(df, "p", "id").collect()}
     want = {i: k for k, (i, _) in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])), 1)}
     assert got == want
 
 
-def test_a_hot_score_is_spread_over_ranges(spark):
-    """A score shared by a third of the rows never lands in one window partition."""
-    df = spark.range(30_000).select("id", F.when(F.col("id") % 3 == 0, F.lit(0.5)).otherwise(F.rand(1)).alias("p"))
-    cuts = running.range_cuts(df, F.col("id"), 20)
-    sizes = [r[0] for r in running.with_range(df.where("p = 0.5"), F.col("id"), cuts).groupBy("__range").count().select("count").collect()]
-    assert len(sizes) == 20 and max(sizes) < 2 * 10_000 / 20
+def test_positions_on_text_keys_with_one_hot_score(spark):
+    rnd = random.Random(6)
+    rows = [(f"k{rnd.random():.12f}", 0.5 if i % 10 else rnd.random()) for i in range(3000)]
+    df = spark.createDataFrame(rows, "ID_UNICO string, p double")
+    want = {i: k for k, (i, _) in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])), 1)}
+    for parts in (1, 7):
+        out = running.row_positions(df.repartition(parts), "p", "ID_UNICO")
+        assert {r.ID_UNICO: (r.position, r.n_rows) for r in out.collect()} == {i: (k, 3000) for i, k in want.items()}
+    assert out.columns == ["ID_UNICO", "p", "position", "n_rows"]
+    assert running.row_positions(df.limit(0), "p", "ID_UNICO").count() == 0
+
+
+def test_a_hot_score_is_spread_over_tasks(spark):
+    """A score shared by nine tenths of the rows is sorted by many tasks."""
+    df = spark.range(60_000).select("id", F.when(F.col("id") % 10 > 0, F.lit(0.5)).otherwise(F.rand(1)).alias("p"))
+    sizes = [r[0] for r in df.repartitionByRange(20, F.col("p").desc(), "id").where("p = 0.5").groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert len(sizes) >= 17 and max(sizes) < 2 * 60_000 / 20
 
 
 def test_empty_table(spark):
