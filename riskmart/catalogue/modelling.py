@@ -93,19 +93,19 @@ def _(t):
 @query("model_gbt")
 def _(t):
     train, oot = _pair(t)
-    return _evaluated(E.fit("gb", train, FEATURES, params={"n_estimators": 10}), oot)
+    return _evaluated(E.fit("gb", train, FEATURES), oot)
 
 
 @query("model_hist_gbt")
 def _(t):
     train, oot = _pair(t)
-    return _evaluated(E.fit("hgb", train, FEATURES, params={"max_iter": 10, "max_bins": 64}), oot)
+    return _evaluated(E.fit("hgb", train, FEATURES), oot)
 
 
 @query("model_xgb_alias")
 def _(t):
     train, oot = _pair(t)
-    return _evaluated(E.fit("xgb", train, FEATURES, params={"n_estimators": 10}), oot)
+    return _evaluated(E.fit("xgb", train, FEATURES), oot)
 
 
 @query("model_predict")
@@ -148,7 +148,7 @@ def _(t):
 @query("imp_native")
 def _(t):
     train, _ = _pair(t)
-    return I.native_importance(E.fit("xgb", train, FEATURES, params={"n_estimators": 5}), t.spark)
+    return I.native_importance(E.fit("gb", train, FEATURES), t.spark)
 
 
 @query("imp_coef")
