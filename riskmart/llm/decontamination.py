@@ -21,7 +21,7 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
 #: How many of its rarest words lead a window.
-LEADING = 3
+LEADING = 2
 
 
 def words(text: Column) -> Column:
@@ -44,7 +44,9 @@ def windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
 
 def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, key, pos) for every occurrence of the given terms in the texts of docs; positions from 0."""
-    spread = docs.select(text_key(F.col("text")).alias("key"), F.posexplode(words(F.col("text"))).alias("pos", "term"))
+    # the key is formed below the generator, once for each text and not for each word
+    keyed = docs.select(text_key(F.col("text")).alias("key"), words(F.col("text")).alias("all"))
+    spread = keyed.select("key", F.posexplode("all").alias("pos", "term"))
     return spread.join(small(terms.select("term").distinct()), "term")
 
 
@@ -64,15 +66,14 @@ def occurrences(docs: DataFrame, items: DataFrame, size: int = WINDOW, leading:
     runs = staged(windows(items, size), "leak-windows")
     lead = staged(_leading(runs, docs, leading), "leak-lead")
     index = staged(postings(docs, lead), "leak-index")
-    found = None
-    for rank in range(1, leading + 1):
-        shifted = index.join(lead.filter(F.col("rank") == rank), "term").select(
-            "window", "size", "key", (F.col("pos") - F.col("offset")).alias("start")).filter("start >= 0").distinct()
-        # shorter windows have no word of this rank and pass on
-        found = shifted if found is None else found.join(shifted.drop("size"), ["window", "key", "start"], "leftsemi").unionByName(
+    found = index.join(small(lead.filter("rank = 1")), "term").select(
+        "window", "size", "key", (F.col("pos") - F.col("offset")).alias("start")).filter("start >= 0").distinct()
+    for rank in range(2, leading + 1):
+        # the place where the next list must have the text; windows without a word of this rank pass on
+        due = found.join(small(lead.filter(F.col("rank") == rank).drop("size")), "window").select(
+            "window", "size", "key", "start", "term", (F.col("start") + F.col("offset")).alias("pos"))
+        found = due.join(index, ["key", "term", "pos"], "leftsemi").select("window", "size", "key", "start").unionByName(
             found.filter(F.col("size") < rank))
-        if rank < leading:
-            found = found.select("window", "size", "key", "start")
     sets = runs.groupBy("window").agg(F.first("terms").alias("terms"), F.sort_array(F.collect_set("item")).alias("items"))
     near = staged(found, "leak-candidates").join(sets, "window").select("key", F.struct("start", "terms", "items").alias("c"))
     asked = staged(near.groupBy("key").agg(F.collect_set("c").alias("cs")), "leak-asked")
