@@ -122,7 +122,7 @@ def _(t):
     schema = t.events.schema
     # the second run finds nothing new: every event lands once
     for _ in range(2):
-        landing.land_and_wait(t.spark, t.folder, target, schema, f"{target}-checkpoint", landing.name_pattern(names=["events.parquet"]))
+        landing.land_and_wait(t.spark, t.folder, target, schema, f"{target}-checkpoint", paths=landing.name_pattern(names=["events.parquet"]))
     return readers.read_parquet(t.spark, target)
 
 

@@ -77,6 +77,21 @@ def data_files(spark: SparkSession, path: str, extensions: Sequence[str] = EXTEN
     return sorted(found)
 
 
+def first_data_file(spark: SparkSession, path: str, extensions: Sequence[str] = EXTENSIONS) -> str | None:
+    """The first data file below a folder in path order, without listing the rest."""
+    fs, p = _fs(spark, path)
+    waiting = [p]
+    while waiting:
+        at = waiting.pop()
+        if at is not p and not fs.getFileStatus(at).isDirectory():
+            if at.getName().rsplit(".", 1)[-1].lower() in extensions:
+                return at.toString()
+            continue
+        found = [(s.getPath().getName() + "/" * bool(s.isDirectory()), s.getPath()) for s in fs.listStatus(at)]
+        waiting += [q for name, q in sorted(found, key=lambda x: x[0], reverse=True) if name[0] not in "._"]
+    return None
+
+
 class EmptyFolder(ValueError):
     """A folder without any supported data file."""
 
@@ -85,13 +100,13 @@ def read_folder(spark: SparkSession, folder: str, sep: str = ",", header: bool =
     """A folder as one table; the first file (in name order) decides the format."""
     if not exists(spark, folder):
         raise FileNotFoundError(folder)
-    files = data_files(spark, folder)
-    if not files:
+    first = first_data_file(spark, folder)
+    if first is None:
         raise EmptyFolder(f"no {' or '.join(EXTENSIONS)} file in {folder}")
-    kind = files[0].rsplit(".", 1)[-1]
+    kind = first.rsplit(".", 1)[-1]
     fmt = kind.lower()
     reader = spark.read.format(fmt).option("pathGlobFilter", f"*.{kind}")
-    partitioned = any("=" in part for part in files[0][len(folder):].split("/"))
+    partitioned = any("=" in part for part in first[len(folder):].split("/"))
     if partitioned:
         reader = reader.option("basePath", folder)
     else:

@@ -125,3 +125,30 @@ def test_landing_takes_new_files_once(spark, tmp_path):
     landing.land_and_wait(spark, src, dst, schema, chk)
     assert sorted(r.id for r in spark.read.parquet(dst).collect()) == [0, 1, 2, 3, 4]
     assert landing.name_pattern(["a", "a"], ["b.parquet"]) == "{a*,b.parquet}"
+
+
+def test_landing_by_path(spark, tmp_path):
+    """A table that is a folder of part files lands whole; prefixes go by path; names are taken literally."""
+    src = tmp_path / "src"
+    spark.range(10).repartition(3).write.parquet(str(src / "events.parquet"))
+    spark.range(10, 14).coalesce(1).write.parquet(str(src / "raw" / "a{1},x"))
+    spark.range(90, 99).write.parquet(str(src / "other.parquet"))
+    schema = spark.range(1).schema
+    for k, (paths, want) in enumerate([(landing.name_pattern(names=["events.parquet"]), 10), (landing.name_pattern(["raw/a"]), 4),
+                                       (landing.name_pattern(names=["raw/a{1},x"]), 4), (landing.name_pattern(["raw/"], ["events.parquet"]), 14)]):
+        dst, chk = str(tmp_path / f"dst{k}"), str(tmp_path / f"chk{k}")
+        for _ in range(2):
+            landing.land_and_wait(spark, str(src), dst, schema, chk, paths=paths)
+        assert spark.read.parquet(dst).count() == want
+
+
+def test_the_first_file_decides_the_format(spark, tmp_path):
+    root = tmp_path / "t"
+    (root / "b").mkdir(parents=True)
+    (root / "a-b").mkdir()
+    (root / "_x").mkdir()
+    for name in ("b/1.csv", "a-b/2.parquet", "_x/0.csv", "a-b/1.txt", ".h.csv"):
+        (root / name).write_text("a\n1\n")
+    assert readers.first_data_file(spark, str(root)).endswith("a-b/2.parquet")
+    (root / "e").mkdir()
+    assert readers.first_data_file(spark, str(root / "e")) is None
