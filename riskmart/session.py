@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import json
 import logging
+import shutil
 import tempfile
 import uuid
 from collections.abc import Mapping
@@ -12,6 +14,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 log = logging.getLogger(__name__)
+_own_folders: dict[str, str] = {}
 
 DEFAULTS: dict[str, str] = {
     # let the optimizer size joins and shuffles from what it sees at run time
@@ -65,14 +68,18 @@ def get_spark(app_name: str = "riskmart", overrides: Mapping[str, object] | None
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local session without the setting gets a folder of its own.
+    Only a local session without the setting gets a folder of its own, one for its whole life.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-    return tempfile.mkdtemp(prefix="riskmart-")
+    app = spark.sparkContext.applicationId
+    if app not in _own_folders:
+        _own_folders[app] = tempfile.mkdtemp(prefix="riskmart-")
+        atexit.register(shutil.rmtree, _own_folders[app], ignore_errors=True)
+    return _own_folders[app]
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from riskmart import constants as K
 from riskmart.functions.dates import part_columns
 from riskmart.operators.splits import OOT, TRAIN, Splits
-from riskmart.sources.readers import _fs, exists, subfolders
+from riskmart.sources.readers import _fs, exists, first_data_file, subfolders
 
 log = logging.getLogger(__name__)
 
@@ -78,10 +78,17 @@ def rewrite(spark: SparkSession, path: str, change: Callable[[DataFrame], DataFr
     """Correct a stored table in place.
 
     The corrected table is written completely next to the old one before the two
-    folders are exchanged, so a failed job leaves the old table untouched.
+    folders are exchanged, so a failed job leaves the old table untouched. The partitioning
+    of the stored table is kept unless another one is given.
     """
     token = uuid.uuid4().hex
     base = path.rstrip("/")
+    if not partition_by:
+        first = first_data_file(spark, base) or ""
+        name = base.rsplit("/", 1)[-1]
+        parts = first.split("/")
+        below = parts[len(parts) - parts[::-1].index(name):-1] if name in parts else []
+        partition_by = tuple(x.split("=", 1)[0] for x in below if "=" in x)
     staged, retired = f"{base}.new-{token}", f"{base}.old-{token}"
     write_parquet(change(spark.read.parquet(path)), staged, partition_by)
     fs, current = _fs(spark, base)

@@ -152,3 +152,14 @@ def test_the_first_file_decides_the_format(spark, tmp_path):
     assert readers.first_data_file(spark, str(root)).endswith("a-b/2.parquet")
     (root / "e").mkdir()
     assert readers.first_data_file(spark, str(root / "e")) is None
+
+
+def test_rewrite_keeps_the_partitioning(spark, tmp_path):
+    path = str(tmp_path / "k=1" / "t")
+    spark.range(6).selectExpr("id", "id % 2 AS v", "id % 3 AS w").write.partitionBy("v", "w").parquet(path)
+    writers.rewrite(spark, path, lambda d: d.withColumn("id", F.col("id") + 1))
+    assert readers.subfolders(spark, path) == ["v=0", "v=1"] and spark.read.parquet(path).agg(F.sum("id")).first()[0] == 21
+    flat = str(tmp_path / "flat")
+    spark.range(3).write.parquet(flat)
+    writers.rewrite(spark, flat, lambda d: d)
+    assert readers.subfolders(spark, flat) == []
