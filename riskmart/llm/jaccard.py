@@ -6,12 +6,14 @@ with the same size and prefix form one group that is filtered as a whole: by siz
 token leave for the overlap. Group pairs that pass are expanded to their members, and members are verified on whole sets.
 
 Links are needed for connected components, so pairs within a component already known are not compared again: the sets
-that share a token are first held against the one of them that has it earliest (a star, not all pairs), components are
+that share a token are first held against the one of them that shares most tokens (a star, not all pairs), components are
 formed, and then sets outside the largest component of a token are held against all others of another component there.
 Every pair that passes the filters is thus verified or already connected by verified links, in any group size.
 
-The order of tokens is by a count sketch over all texts (a table of 2**SKETCH counts) and then by hash. Any order that is
-the same for all texts keeps the join exact; the sketch only moves frequent shingles out of the prefixes.
+The order of tokens is by a bound on how many texts have them and then by hash. The bound is the smaller of two counts over
+all texts, each in a table of 2**SKETCH hash buckets: that of the shingle and that of its rarest word. Both are never too
+small; words grow much slower than shingles, so the second stays sharp at any size. Any order that is the same for all
+texts keeps the join exact; a coarse table only makes prefixes less selective.
 """
 
 from __future__ import annotations
@@ -25,9 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from riskmart.llm.common import components, shingle_set, small, staged
+from riskmart.llm.common import components, shingle_set, shingles, small, staged, word_hashes
 
 SKETCH = 20
+#: Hash buckets of a signature: how many tokens of a set fall into each bounds the overlap of two sets from above.
+SIGNATURE = 128
 _BLOCK = 1 << 12
 #: Up to this many needed sets are looked up while texts are read (8 bytes each); beyond it all sets go to the join.
 LOOKUP = 4_000_000
@@ -41,6 +45,10 @@ def _bucket(values: np.ndarray) -> np.ndarray:
     return (values >> np.uint64(64 - SKETCH)).astype(np.int64)
 
 
+def signature(values: np.ndarray) -> bytes:
+    return np.minimum(np.bincount((values & np.uint64(SIGNATURE - 1)).astype(np.int64), minlength=SIGNATURE), 65535).astype(np.uint16).tobytes()
+
+
 def prefix_length(n: int, num: int, den: int) -> int:
     """How many of its n tokens a set must show to be found at similarity num/den."""
     return n - -(-num * n // den) + 1 if n else 0
@@ -51,18 +59,21 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
-    """Rows (doc_id, h, n, digest), and the sketch: how many texts have a shingle in each hash bucket."""
+    """Rows (doc_id, h, n, digest), and the sketch: how many texts have a word (first half) or a shingle (second
+    half) in each hash bucket."""
     rows = _texts(docs).select("doc_id", "text", F.xxhash64("text").alias("h"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, id_type = np.zeros(1 << SKETCH, np.uint32), None
+        counts, id_type = np.zeros(2 << SKETCH, np.uint32), None
         names = ["doc_id", "h", "n", "digest", "block", "counts"]
         for batch in batches:
             id_type, sizes, digests = batch.schema.field(0).type, [], []
             for text in batch.column(1):
-                s = shingle_set(text.as_py(), k)
-                counts[_bucket(s)] += np.uint32(1)
+                words = word_hashes(text.as_py())
+                s = np.unique(shingles(words, k))
+                counts[_bucket(words)] += np.uint32(1)
+                counts[_bucket(s) + (1 << SKETCH)] += np.uint32(1)
                 sizes.append(len(s))
                 digests.append(digest(s))
             n = batch.num_rows
@@ -85,7 +96,7 @@ def _sets(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())],
                                          names=["block", "counts"])
 
-    sketch = np.zeros(1 << SKETCH, np.uint32)
+    sketch = np.zeros(2 << SKETCH, np.uint32)
     parts = stored.filter("block is not null").select("block", "counts")
     for block, counts in parts.repartition("block").mapInArrow(add, "block int, counts binary").collect():
         sketch[block * _BLOCK:(block + 1) * _BLOCK] += np.frombuffer(counts, np.uint32)
@@ -93,7 +104,7 @@ def _sets(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
 
 
 def _groups(docs: DataFrame, sketch: np.ndarray, k: int, num: int, den: int) -> DataFrame:
-    """Distinct (digest, g, n, prefix): g names the group of sets with this size and prefix."""
+    """Distinct (digest, g, n, prefix, sig): g names the group of sets with this size and prefix."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,28 +112,41 @@ def _groups(docs: DataFrame, sketch: np.ndarray, k: int, num: int, den: int) ->
         for batch in batches:
             out = []
             for text in batch.column(0):
-                s = shingle_set(text.as_py(), k)
+                words = word_hashes(text.as_py())
+                s, at = np.unique(shingles(words, k), return_index=True)
                 if len(s):
                     p = prefix_length(len(s), num, den)
-                    weight = counts[_bucket(s)]
-                    # s is ascending: a stable sort by count leaves ties in the order of the hash
-                    if p < len(s):
-                        limit = np.partition(weight, p - 1)[p - 1]
-                        some = np.flatnonzero(weight <= limit)
-                    else:
-                        some = np.arange(len(s))
-                    first = s[some[np.argsort(weight[some], kind="stable")[:p]]]
-                    out.append((digest(s), hashlib.blake2b(first.tobytes() + str(len(s)).encode(), digest_size=16).digest(), len(s), first.view(np.int64)))
-            columns = list(zip(*out)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.int64())))],
-                                             names=["digest", "g", "n", "prefix"])
-
-    return staged(_texts(docs).select("text").mapInArrow(read, "digest binary, g binary, n long, prefix array<long>").distinct(), "join-groups")
-
-
-def _verify(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int, name: str) -> DataFrame:
+                    own = counts[_bucket(words)]
+                    rarest = np.lib.stride_tricks.sliding_window_view(own, min(k, len(own))).min(axis=1)[at]
+                    weight = np.minimum(rarest, counts[_bucket(s) + (1 << SKETCH)])
+                    # s is ascending: a stable sort by weight leaves ties in the order of the hash
+                    first = s[np.argsort(weight, kind="stable")[:p]]
+                    out.append((digest(s), hashlib.blake2b(first.tobytes() + str(len(s)).encode(), digest_size=16).digest(), len(s), first.view(np.int64), signature(s)))
+            columns = list(zip(*out)) or [()] * 5
+            types = (pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["digest", "g", "n", "prefix", "sig"])
+
+    return staged(_texts(docs).select("text").mapInArrow(read, "digest binary, g binary, n long, prefix array<long>, sig binary").distinct(), "join-groups")
+
+
+def _possible(pairs: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
+    """Distinct pairs (a, b) whose signatures leave room for a similarity of num/den."""
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, SIGNATURE).astype(np.int64) for i in (2, 3))
+            most, total = np.minimum(x, y).sum(axis=1), x.sum(axis=1) + y.sum(axis=1)
+            full = ((x == 65535) & (y == 65535)).any(axis=1)
+            yield batch.select([0, 1]).filter(pa.array((den * most >= num * (total - most)) | full))
+
+    sigs = members.select("digest", "sig")
+    both = pairs.select("a", "b").distinct().join(sigs.select(F.col("digest").alias("a"), F.col("sig").alias("x")), "a").join(
+        sigs.select(F.col("digest").alias("b"), F.col("sig").alias("y")), "b").select("a", "b", "x", "y")
+    return both.mapInArrow(bound, "a binary, b binary")
+
+
+def _verify(pairs: DataFrame, members: DataFrame, docs: DataFrame, k: int, num: int, den: int, name: str) -> DataFrame:
     """The pairs (a, b) of set digests whose whole sets have a Jaccard similarity of at least num/den."""
-    pairs = staged(pairs.select("a", "b").distinct(), f"{name}-pairs")
+    pairs = staged(_possible(pairs, members, num, den), f"{name}-pairs")
     need = staged(pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct(), f"{name}-need")
     wanted = None
     if need.count() <= LOOKUP:
@@ -171,7 +195,7 @@ def links(docs: DataFrame, sketch: np.ndarray, k: int, num: int, den: int) -> Da
     tokens = groups.select("g", "n", "prefix").distinct().select("g", "n", F.posexplode("prefix").alias("pos", "token"))
     shared = staged(tokens.groupBy("token").count().filter("count > 1").select("token"), "join-tokens")
     entries = staged(tokens.join(small(shared), "token"), "join-entries")
-    members = groups.select("digest", "g")
+    members = groups.select("digest", "g", "sig")
     crowded = staged(members.groupBy("g").count().filter("count > 1").select("g"), "join-crowded")
     needed = entries.select("g").distinct().union(crowded).distinct()
     members = staged(members.join(needed, "g", "leftsemi"), "join-members")
@@ -186,14 +210,16 @@ def links(docs: DataFrame, sketch: np.ndarray, k: int, num: int, den: int) -> Da
     def ordered(a, b):
         return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
 
-    hubs = entries.groupBy("token").agg(F.min(F.struct("pos", "g", "n")).alias("hub"))
+    # the hub of a token shares most of its prefix with others; the same set is then the hub of most of its tokens
+    degree = entries.groupBy("g").agg((-F.count("*")).alias("degree"))
+    hubs = entries.join(degree, "g").groupBy("token").agg(F.min(F.struct("degree", "g", "pos", "n")).alias("hub"))
     star = entries.alias("e").join(hubs.select("token", "hub.pos", "hub.g", "hub.n").alias("h"), "token").filter(
         (F.col("e.g") != F.col("h.g")) & fits("e", "h")).select(F.col("e.g").alias("g1"), F.col("h.g").alias("g2")).distinct()
     star = star.join(first.select(F.col("g").alias("g1"), F.col("rep").alias("r1")), "g1").join(
         first.select(F.col("g").alias("g2"), F.col("rep").alias("r2")), "g2").select(*ordered(F.col("r1"), F.col("r2")))
     inside = members.join(crowded, "g").join(first, "g").filter("digest <> rep").select(*ordered(F.col("rep"), F.col("digest")))
     tried = staged(star.union(inside).distinct(), "join-star")
-    linked = _verify(tried, docs, k, num, den, "join-star")
+    linked = _verify(tried, members, docs, k, num, den, "join-star")
 
     known = components(linked, "join-first")
     rooted = staged(members.join(known, F.col("digest") == F.col("node"), "left").select(
@@ -217,7 +243,7 @@ def links(docs: DataFrame, sketch: np.ndarray, k: int, num: int, den: int) -> Da
         tried, ["a", "b"], "leftanti"), "join-apart")
     if more.isEmpty():
         return known
-    late = _verify(more, docs, k, num, den, "join-apart")
+    late = _verify(more, members, docs, k, num, den, "join-apart")
     return components(linked.union(late), "join-last")
 
 
@@ -249,12 +275,11 @@ def op2_jaccard(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> D
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of docs, all columns, with one document of each component: the one with the smallest identifier.
 
-    Among rows that share that identifier the smallest text hash stays, and of equal rows one; a component of null
-    identifiers keeps its smallest text hash. Texts without words are all kept.
+    Among rows that share that identifier the smallest text hash stays, and of equal rows one. A component without any
+    identifier has no such document and keeps its different texts, each once. Texts without words are all kept.
     """
     rows = staged(link(docs, k, num, den), "join-linked").filter("n_shingles > 0")
     key = F.struct(F.col("doc_id").isNull(), "doc_id", "h")
-    # components without an identifier are told apart by the set of texts, which a null component has in common
     ranked = rows.filter("component_id is not null").groupBy("component_id").agg(F.min(key).alias("kept"))
     out = rows.join(ranked, "component_id").filter(~(key.eqNullSafe(F.col("kept")))).select("doc_id", "h").distinct()
     again = rows.groupBy("doc_id", "h").count().filter("count > 1").select("doc_id", "h")
