@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from riskmart.llm.common import SPACES, mix, shingles, small, spans, staged, word_hashes
 
 PASSAGE, SEED = 50, 16
-#: Seeds with more occurrences than this are decided window by window instead of side by side in a task.
-HOT = 3000
+#: Seeds with more occurrences than this (about 400 bytes each) are decided window by window instead of side by side in a task.
+HOT = 50_000
 #: Up to this many shared seeds are looked up while texts are read (8 bytes each); beyond it all suffixes are joined.
 LOOKUP = 4_000_000
 _LAST = (1 << 63) - 1
@@ -101,15 +101,17 @@ def _suffixes(texts: DataFrame, shared: DataFrame, hot: DataFrame, passage: int,
                 o, d, n = o.as_py(), d.as_py(), len(words)
                 crowded = inside(found, often.value)
                 short = words.astype(np.uint32).astype(">u4")
-                windows = None
+                if (some & crowded).any():
+                    # each window around a crowded seed once, however many such seeds it holds
+                    due = np.zeros(n, bool)
+                    for p in places[some & crowded].tolist():
+                        due[max(0, p - before):min(p, n - passage) + 1] = True
+                    starts = np.flatnonzero(due)
+                    for start, window in zip(starts.tolist(), shingles(words, passage).view(np.int64)[starts].tolist()):
+                        for column, value in zip(out, (window, None, None, o, d, start)):
+                            column.append(value)
                 for p, s, many in zip(places[some].tolist(), found[some].tolist(), crowded[some].tolist()):
-                    if many:
-                        if windows is None:
-                            windows = shingles(words, passage).view(np.int64)
-                        for start in range(max(0, p - before), min(p, n - passage) + 1):
-                            for column, value in zip(out, (int(windows[start]), None, None, o, d, start)):
-                                column.append(value)
-                    else:
+                    if not many:
                         for column, value in zip(out, (s, short[p:p + passage].tobytes(), short[max(0, p - before):p].tobytes(), o, d, p)):
                             column.append(value)
             types = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
