@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskmart import constants as K
 from riskmart.catalogue import query
-from riskmart.catalogue.base_table import _scores, _telco
-from riskmart.catalogue.roles import OOT
+from riskmart.catalogue.base_table import _registration
+from riskmart.catalogue.roles import OOT, ORDER_DOMAINS, PAYMENT_DOMAINS, VINTAGES, customer_payments, order_recharges, raw_score, raw_telco
 from riskmart.models import estimators as E
 from riskmart.models import importance as I
 from riskmart.models import training as T
 from riskmart.operators import metrics, splits
-from riskmart.plans import abt
-from riskmart.session import cut_lineage
+from riskmart.plans import abt, books, silver
+from riskmart.session import cut_lineage, shared_folder
 
 FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "p_size", "p_retailprice"]
 
@@ -114,26 +115,37 @@ def _(t):
     return E.score(E.fit("lr", train, FEATURES), oot, keep=["id"], threshold=0.5)
 
 
+def _base_tables(t) -> dict[str, DataFrame]:
+    """The six modelling tables, stored: every fit reads them many times."""
+    registration, until = _registration(t), max(VINTAGES.values())
+    tables = abt.build_stored(
+        {"score_bureau_full": silver.score(raw_score(t)), "telco": silver.telco(raw_telco(t)), "cadastral": registration},
+        books.recharge_book(registration, order_recharges(t), ORDER_DOMAINS, until=until),
+        books.payment_book(registration, customer_payments(t), PAYMENT_DOMAINS, until=until),
+        f"{shared_folder(t.spark).rstrip('/')}/model-base-{uuid.uuid4().hex}", oot=OOT)
+    return {name: tables[name] for _, name in K.STEPS.values()}
+
+
 @query("model_incremental")
 def _(t):
-    tables = {K.STEPS[1][1]: abt.publish(1, _scores(t)), K.STEPS[2][1]: abt.publish(2, _scores(t)),
-              K.STEPS[3][1]: abt.publish(3, _telco(t))}
-    stored = {n: cut_lineage(df) for n, df in tables.items()}
-    pairs, _, _ = splits.prepare(stored, OOT)
-    return T.summary_table(T.IncrementalTraining(pairs, steps=[1, 2, 3]).run("logistic"))
+    pairs, _, _ = splits.prepare(_base_tables(t), OOT)
+    return T.summary_table(T.IncrementalTraining(pairs).run("logistic"))
 
 
 @query("model_stress_topn")
 def _(t):
-    train, oot = _pair(t)
-    ranked = ["l_extendedprice", "l_quantity", "p_size", "l_discount", "p_retailprice", "l_tax"]
-    return T.stress_test(train, oot, ranked, cuts=[2, 4, 6], params={"n_estimators": 5})
+    pairs, _, _ = splits.prepare(_base_tables(t), OOT)
+    last = max(K.STEPS)
+    _, train, oot = T.step_splits(last, pairs)
+    names = T.IncrementalTraining(pairs).features(last)
+    ranked = I.native_importance(E.fit("xgboost", train, names), t.spark).orderBy("ranking").select("feature").collect()
+    return T.stress_test(train, oot, [r.feature for r in ranked])
 
 
 @query("model_grid")
 def _(t):
     train, _ = _pair(t)
-    table, _ = T.grid_search(train, FEATURES, grid={"max_depth": [3, 5], "n_estimators": [3]}, folds=3)
+    table, _ = T.grid_search(train, FEATURES)
     return table
 
 

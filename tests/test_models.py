@@ -149,3 +149,24 @@ def test_stress_and_grid(pair):
     rows = table.collect()
     assert len(rows) == 2 and rows[0].auc >= rows[1].auc > 0.8 and E.features_of(best) == FEATURES
     assert K.GRID["max_depth"] == [3, 5, 7]
+
+
+def test_model_queries_run_the_whole_job(spark, data, monkeypatch):
+    from __spark_entry__ import SMOKE_FOLDER, queries
+    from riskmart.catalogue import Tables, modelling
+    run, seen, fit = queries(), {}, E.fit
+    base = modelling._base_tables(Tables(spark, SMOKE_FOLDER))
+
+    def noted(name, result):
+        return lambda *a, **k: seen.update({name: (a, k)}) or result
+
+    monkeypatch.setattr(modelling, "_base_tables", lambda t: base)
+    monkeypatch.setattr(E, "fit", lambda kind, train, names, *a, **k: seen.update(kind=kind, names=names) or fit("gb", train, names, params={"n_estimators": 1}))
+    steps = run["model_incremental"](spark, SMOKE_FOLDER).collect()
+    assert [r.Etapa for r in steps] == list(K.STEPS) and len({r.Features for r in steps}) == len(K.STEPS) and seen["kind"] == "logistic"
+    monkeypatch.setattr(modelling.T, "grid_search", noted("grid", (data, None)))
+    monkeypatch.setattr(modelling.T, "stress_test", noted("stress", data))
+    run["model_grid"](spark, SMOKE_FOLDER)
+    run["model_stress_topn"](spark, SMOKE_FOLDER)
+    assert seen["grid"][1] == {} and len(seen["grid"][0]) == 2 and seen["kind"] == "xgboost"
+    assert seen["stress"][1] == {} and len(seen["stress"][0]) == 3 and len(set(seen["stress"][0][2])) >= max(K.STRESS_CUTS)
