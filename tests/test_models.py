@@ -170,3 +170,9 @@ def test_model_queries_run_the_whole_job(spark, data, monkeypatch):
     run["model_stress_topn"](spark, SMOKE_FOLDER)
     assert seen["grid"][1] == {} and len(seen["grid"][0]) == 2 and seen["kind"] == "xgboost"
     assert seen["stress"][1] == {} and len(seen["stress"][0]) == 3 and len(set(seen["stress"][0][2])) >= max(K.STRESS_CUTS)
+
+
+def test_cuts_beyond_the_features_are_reported(pair):
+    train, oot = pair["score_02"]["treino"], pair["score_02"]["oot"]
+    with pytest.warns(UserWarning, match=r"\[50, 90\]: only 3 features"):
+        assert T.stress_test(train, oot, FEATURES, cuts=[1, 50, 90], params={"n_estimators": 1}).count() == 1
