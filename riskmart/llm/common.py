@@ -19,7 +19,7 @@ _BACK = pow(_BASE, -1, 1 << 64)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write the rows as Parquet below the shared folder and read them back.
 
     Cuts the lineage at a table that every executor can reach, so nothing above it is computed twice and a lost
@@ -27,7 +27,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     folder = f"{shared_folder(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(folder)
+    df.write.options(**options).parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 
 

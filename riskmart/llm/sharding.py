@@ -49,11 +49,11 @@ def numbered(df: DataFrame, order: list[str], name: str = "row_no") -> DataFrame
     Range partitions are sorted and stored; only one count for each partition reaches the driver. Rows that tie in
     all of the order columns are spread over tasks by their place in the input, so a run of equal rows is split too.
     """
-    stored = staged(df.withColumn("__spread", F.monotonically_increasing_id()), "shard-in")
+    stored = staged(df.withColumn("__spread", F.monotonically_increasing_id()), "shard-in", compression="zstd")
     keys = [*order, "__spread"]
     ranged = staged(stored.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("__spread")
                     .withColumn("__part", F.spark_partition_id())
-                    .withColumn("__at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "shard-sorted")
+                    .withColumn("__at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "shard-sorted", compression="zstd")
     start, offsets = 0, []
     for part, n in sorted(tuple(r) for r in ranged.groupBy("__part").count().collect()):
         offsets.append((part, start))
@@ -84,14 +84,21 @@ def feistel_shards(df: DataFrame, order: list[str], n_shards: int, seed: int = 0
     return rows.mapInArrow(place, T.StructType([*schema, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())]))
 
 
+def sharded(docs: DataFrame, n_shards: int, seed: int = 0) -> DataFrame:
+    """Every row of docs, whole in the column `document`, with doc_id, shard and slot under the `rows` law."""
+    text = F.col("text").cast("binary")
+    rows = docs.select("doc_id", F.crc32(F.coalesce(text, F.lit(b""))).alias("__crc"), F.coalesce(F.octet_length(text), F.lit(0)).alias("__bytes"),
+                       F.struct(*docs.columns).alias("document"))
+    return feistel_shards(rows, ["doc_id", "__crc", "__bytes"], n_shards, seed).select("doc_id", "document", "shard", "slot")
+
+
 def op10_sharding(docs: DataFrame, n_shards: int = 24, seed: int = 20) -> DataFrame:
     """One row per document: its size, checksum, shard and slot under the `rows` law.
 
     A null text has 0 bytes and the checksum 0. Repeated rows are numbered one after another. `grown_shard` is null:
-    under this law a further shard moves most rows. Other columns of the table are not read.
+    under this law a further shard moves most rows. Whole documents are placed; size and checksum are those of the text placed.
     """
-    text = F.col("text").cast("binary")
-    rows = docs.select("doc_id", (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("size"),
-                       F.crc32(F.coalesce(text, F.lit(b""))).alias("text_crc32"))
-    return feistel_shards(rows, ["doc_id", "text_crc32", "size"], n_shards, seed).select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    text = F.col("document.text").cast("binary")
+    return sharded(docs, n_shards, seed).select(
+        "doc_id", (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("size"), F.crc32(F.coalesce(text, F.lit(b""))).alias("text_crc32"),
+        F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -43,3 +43,14 @@ def test_many_equal_rows_and_none(spark):
     assert op10_sharding(table(spark, [])).count() == 0
     with pytest.raises(ValueError):
         feistel_shards(table(spark, []), ["doc_id"], 0)
+
+
+def test_whole_documents_are_placed(spark, monkeypatch):
+    from riskmart.llm import sharding
+    docs, seen = table(spark, EDGES), []
+    place = sharding.feistel_shards
+    monkeypatch.setattr(sharding, "feistel_shards", lambda *a: seen.append(place(*a)) or seen[-1])
+    digests = {(r["doc_id"], r["text_crc32"], r["shard"], r["slot"]) for r in op10_sharding(docs).collect()}
+    placed = seen[0].collect()
+    assert sorted((tuple(r["document"]) for r in placed), key=str) == sorted(map(tuple, docs.collect()), key=str)
+    assert digests == {(r["doc_id"], zlib.crc32((r["document"]["text"] or "").encode()), r["shard"], r["slot"]) for r in placed}
