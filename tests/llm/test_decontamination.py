@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from riskmart.llm import decontamination as D
 from tests.llm.helpers import EDGES, LONG, corpus, table
 
@@ -71,7 +73,7 @@ def test_wide_sides_are_shuffled(spark, monkeypatch):
 def test_proximity(spark):
     docs = [(1, "a b c d e"), (2, "a x b c d e"), (3, "a x y b"), (4, "b a"), (5, "a a b")]
     phrases = spark.createDataFrame([("p", ["a", "b"])], "phrase string, terms array<string>")
-    keys = {r["key"]: r["doc_id"] for r in table(spark, docs).select("doc_id", D.text_key(table(spark, docs)["text"]).alias("key")).collect()}
+    keys = {r["key"]: r["doc_id"] for r in table(spark, docs).select("doc_id", D.text_key(F.col("text")).alias("key")).collect()}
 
     def found(slack):
         return {keys[r["key"]] for r in D.near(table(spark, docs), phrases, slack).collect()}
