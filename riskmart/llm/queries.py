@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskmart.llm import alignment, bpe, decontamination, fingerprints, jaccard, lattice, pages, quality, resampling, sharding, suffixes, toxicity
+from riskmart.llm import alignment, bpe, chat, decontamination, fingerprints, jaccard, lattice, pages, quality, resampling, sharding, suffixes, toxicity
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -25,10 +25,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bpe": lambda s, d: bpe.op8_bpe(_read(s, d, "documents")),
         "op9_suffix_dedup": lambda s, d: suffixes.op9_suffix_dedup(_read(s, d, "documents")),
         "op10_sharding": lambda s, d: sharding.op10_sharding(_read(s, d, "documents")),
-        "op13_alignment": lambda s, d: alignment.op13_alignment(_read(s, d, "documents")),
+        "op11_chat": lambda s, d: chat.op11_chat(_read(s, d, "conversations")),
         "op12_resampling": lambda s, d: resampling.op12_resampling(_read(s, d, "documents"), _read(s, d, "benchmark")),
+        "op13_alignment": lambda s, d: alignment.op13_alignment(_read(s, d, "documents")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": decontamination.SQL, "op2_jaccard": jaccard.SQL, "op12_resampling": resampling.SQL}
+    return {"op1_decontamination": decontamination.SQL, "op2_jaccard": jaccard.SQL, "op11_chat": chat.SQL, "op12_resampling": resampling.SQL}
