@@ -411,7 +411,7 @@ def _(t):
 def _tables(t):
     s = silver.score(raw_score(t))
     return {"score_01": s.select("ID_UNICO", "SAFRA", "GRUPO_CONTROLE", "FPD", "SCORE_01"),
-            "score_02": s.select("ID_UNICO", "SAFRA", "GRUPO_CONTROLE", "FPD", "SCORE_01", "SCORE_02").where("SCORE_02 >= 0")}
+            "score_02": s.select("ID_UNICO", "SAFRA", "GRUPO_CONTROLE", "FPD", "SCORE_01", "SCORE_02")}
 
 
 _SPLIT_BASE = f"""SELECT NUM_CPF, SAFRA, substr(NUM_CPF, 6, 2) IN ('ZZ', 'ZX') AS gc,
@@ -434,7 +434,7 @@ def _(t):
 WITH b AS (SELECT *, CASE WHEN gc THEN 'controle' WHEN SAFRA IN (200102, 200103) THEN 'oot' ELSE 'treino' END AS split
            FROM ({_SPLIT_BASE}))
 SELECT 'score_01' AS table_name, split, count(*) AS n_rows FROM b GROUP BY split
-UNION ALL SELECT 'score_02', split, count(*) FROM b WHERE s2 >= 0 GROUP BY split""")
+UNION ALL SELECT 'score_02', split, count(*) FROM b GROUP BY split""")
 def _(t):
     _, counts, _ = splits.prepare(_tables(t), [200102, 200103])
     return counts

@@ -160,13 +160,16 @@ REGISTRATION = {
     "var_24": _pick("k % 3", ["ADMITIDO", "DISPENSADO", None]),
     "var_25": _pick("k % 4", ["CLT", "CLT INSS", "CLT  INSS PUB", None]),
 }
+# every customer has a row; some stand under a key that no other table knows, so later joins miss them
 SCORE = {
     **POPULATION,
+    "NUM_CPF": CPF.format(k="(CASE WHEN k % 6 = 5 THEN -1 - k ELSE k END)"),
     "SCORE_01": "CASE WHEN k % 10 = 3 THEN NULL ELSE (k * 97) % 1000 END",
     "SCORE_02": "CASE WHEN k % 10 = 4 THEN NULL ELSE (k * 61) % 1000 END",
 }
 TELCO = {
     **POPULATION,
+    "NUM_CPF": CPF.format(k="(CASE WHEN k % 5 = 4 THEN -1 - k ELSE k END)"),
     **{f"var_{i}": f"CASE WHEN k % 9 = 0 THEN NULL ELSE CAST((k * {i}) % 977 AS DOUBLE) / 4 END" for i in range(26, 78)},
     **{f"var_{i}": f"(k + {i}) * 31 % 15000" for i in range(78, 94)},
 }
@@ -187,16 +190,16 @@ def raw_registration(t: Tables) -> DataFrame:
 
 
 def raw_score(t: Tables) -> DataFrame:
-    return _people(t).where("k % 6 <> 5").selectExpr(*[f"{e} AS {n}" for n, e in SCORE.items()])
+    return _people(t).selectExpr(*[f"{e} AS {n}" for n, e in SCORE.items()])
 
 
 def raw_telco(t: Tables) -> DataFrame:
-    return _people(t).where("k % 5 <> 4").selectExpr(*[f"{e} AS {n}" for n, e in TELCO.items()])
+    return _people(t).selectExpr(*[f"{e} AS {n}" for n, e in TELCO.items()])
 
 
 RAW_REGISTRATION_SQL = f"SELECT {_columns(REGISTRATION)} FROM ({PEOPLE_SQL})"
-RAW_SCORE_SQL = f"SELECT {_columns(SCORE)} FROM ({PEOPLE_SQL}) WHERE k % 6 <> 5"
-RAW_TELCO_SQL = f"SELECT {_columns(TELCO)} FROM ({PEOPLE_SQL}) WHERE k % 5 <> 4"
+RAW_SCORE_SQL = f"SELECT {_columns(SCORE)} FROM ({PEOPLE_SQL})"
+RAW_TELCO_SQL = f"SELECT {_columns(TELCO)} FROM ({PEOPLE_SQL})"
 
 # recharge role for the base table: orders (same years as the payments)
 ORDER_RECHARGE = {
