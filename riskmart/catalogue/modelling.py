@@ -16,7 +16,7 @@ from riskmart.models import importance as I
 from riskmart.models import training as T
 from riskmart.operators import metrics, splits
 from riskmart.plans import abt, books, silver
-from riskmart.session import cut_lineage, shared_folder
+from riskmart.session import cut_lineage, shared_folder, stored
 
 FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "p_size", "p_retailprice"]
 
@@ -47,7 +47,7 @@ def _chosen(fraction: float) -> str:
 
 def _pair(t) -> tuple[DataFrame, DataFrame]:
     """Training and later-vintage rows, stored once because every fit reads them many times."""
-    df = cut_lineage(line_table(t))
+    df = stored(line_table(t), "model-lines")
     pair = splits.split_train_oot({"x": df}, [v for y in (2001,) for v in range(y * 100 + 1, y * 100 + 13)])["x"]
     return pair[splits.TRAIN], pair[splits.OOT]
 
@@ -139,7 +139,8 @@ def _(t):
     _, train, oot = T.step_splits(last, pairs)
     names = T.IncrementalTraining(pairs).features(last)
     ranked = I.native_importance(E.fit("xgboost", train, names), t.spark).orderBy("ranking").select("feature").collect()
-    return T.stress_test(train, oot, [r.feature for r in ranked])
+    names = [r.feature for r in ranked]
+    return T.with_every_cut(T.stress_test(train, oot, names), names)
 
 
 @query("model_grid")
