@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from riskmart import constants as K
 from riskmart.functions.dates import part_columns
+from riskmart.models.boosting import BoostedModel
 from riskmart.operators.splits import OOT, TRAIN, Splits
 from riskmart.sources.readers import _fs, exists, first_data_file, subfolders
 
@@ -124,9 +125,15 @@ def write_final_model(models: Mapping[str, PipelineModel], path: str, step: int)
     if not keys:
         log.warning("no model of step %s", step)
         return None
-    models[keys[-1]].write().overwrite().save(path)
+    model = models[keys[-1]]
+    if isinstance(model, BoostedModel):
+        model.save(SparkSession.getActiveSession(), path)
+    else:
+        model.write().overwrite().save(path)
     return keys[-1]
 
 
-def read_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def read_model(path: str) -> PipelineModel | BoostedModel:
+    """A saved model of either form: pipelines have a folder of metadata."""
+    spark = SparkSession.getActiveSession()
+    return PipelineModel.load(path) if exists(spark, f"{path.rstrip('/')}/metadata") else BoostedModel.load(spark, path)
