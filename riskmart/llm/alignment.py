@@ -75,28 +75,6 @@ def sides(ranks: bytes, model: bytes) -> tuple[Side, Side]:
             Side(lambda text: pieces.encode(text, num_threads=1), [piece_bytes(pieces.id_to_piece(i)) for i in range(pieces.get_piece_size())]))
 
 
-def walk(a: list[int], b: list[int], long_a: list[int], long_b: list[int]) -> tuple[str, int, list[int]]:
-    """Groups as text, their number, and links as a << 32 | b, of two id sequences over the same bytes."""
-    i = j = first_a = first_b = 0
-    end_a, end_b = long_a[0], long_b[0]
-    groups, links = [], []
-    while True:
-        links.append(a[i] << 32 | b[j])
-        if end_a == end_b:
-            i, j = i + 1, j + 1
-            groups.append(",".join(map(str, a[first_a:i])) + "|" + ",".join(map(str, b[first_b:j])))
-            if i == len(a):
-                return ";".join(groups), len(groups), links
-            first_a, first_b = i, j
-            end_a, end_b = end_a + long_a[i], end_b + long_b[j]
-        elif end_a < end_b:
-            i += 1
-            end_a += long_a[i]
-        else:
-            j += 1
-            end_b += long_b[j]
-
-
 def _within(counts: np.ndarray) -> np.ndarray:
     """0, 1, 2, ... inside each of the given counts."""
     return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -107,25 +85,60 @@ class Aligner:
 
     def __init__(self, a: Side, b: Side, store: int = STORE):
         self.a, self.b, self.room, self.used = a, b, store, 0
-        self.known: dict[tuple[bytes, bytes], tuple[str, int, np.ndarray]] = {}
+        #: by id tuples: groups as text, each closed by ";", their number, and the links as bytes
+        self.known: dict[bytes, tuple[str, int, bytes]] = {}
         self.aligned = self.reused = 0
-
-    def window(self, a: np.ndarray, b: np.ndarray) -> tuple[str, int, np.ndarray]:
-        key = (a.tobytes(), b.tobytes())
-        if (found := self.known.get(key)) is not None:
-            self.reused += 1
-            return found
-        self.aligned += 1
-        text, n, links = walk(a.tolist(), b.tolist(), self.a.lengths[a].tolist(), self.b.lengths[b].tolist())
-        found = (text, n, np.array(links, np.int64))
-        size = len(key[0]) + len(key[1]) + len(text) + 8 * len(links) + 400
-        if size <= self.room >> 6:
-            if self.used + size > self.room:
-                self.known.clear()
-                self.used = 0
-            self.known[key] = found
-            self.used += size
-        return found
+        # what is written for an id inside (first half) and at the end (second half) of its side of a group
+        self.written = [np.array([f"{i}{sign}" for sign in signs for i in range(len(side.tokens))], object) for side, signs in ((a, ",|"), (b, ",;"))]
+
+    def align(self, a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> tuple[list[str], list[int], list[bytes]]:
+        """Groups, their number and links of windows that stand one after another, n_a and n_b ids each.
+
+        Every stretch between neighbouring ends of either side lies in one token of each, so the stretches are the links.
+        """
+        ends_a, ends_b = np.cumsum(self.a.lengths[a]), np.cumsum(self.b.lengths[b])
+        marks = np.zeros(ends_a[-1] + 1, np.uint8)
+        marks[ends_a] = 1
+        marks[ends_b] += 2
+        m = marks[np.flatnonzero(marks)]
+        in_a, in_b, shared = (m & 1).astype(bool), (m & 2).astype(bool), m == 3
+        at_a, at_b, group = (np.cumsum(x) - x for x in (in_a, in_b, shared))
+        links = (a[at_a] << 32 | b[at_b]).tobytes()
+        window = np.repeat(np.arange(len(n_a)), n_a)[at_a]
+        n_links = np.bincount(window, minlength=len(n_a))
+        group_a, group_b = group[in_a], group[in_b]
+        out = np.empty(len(a) + len(b), object)
+        out[np.arange(len(a)) + np.searchsorted(group_b, group_a)] = self.written[0][a + len(self.a.tokens) * shared[in_a]]
+        out[np.arange(len(b)) + np.searchsorted(group_a, group_b, "right")] = self.written[1][b + len(self.b.tokens) * shared[in_b]]
+        pieces, stops, ends = out.tolist(), np.cumsum(n_a + n_b).tolist(), (8 * np.cumsum(n_links)).tolist()
+        return (["".join(pieces[s:e]) for s, e in zip([0, *stops], stops)], np.bincount(window[shared], minlength=len(n_a)).tolist(),
+                [links[s:e] for s, e in zip([0, *ends], ends)])
+
+    def found(self, a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> list[tuple[str, int, bytes]]:
+        """Alignments of distinct windows that stand one after another: from the store, else made together and kept."""
+        both, sizes = np.empty(len(a) + len(b) + len(n_a), np.int32), n_a + n_b + 1
+        starts = np.cumsum(sizes) - sizes
+        both[starts] = n_a  # tells where the second side starts
+        both[np.repeat(starts + 1, n_a) + _within(n_a)] = a
+        both[np.repeat(starts + 1 + n_a, n_b) + _within(n_b)] = b
+        buffer = both.tobytes()
+        keys = [buffer[s:e] for s, e in zip((4 * starts).tolist(), (4 * (starts + sizes)).tolist())]
+        out = [self.known.get(key) for key in keys]
+        new = np.array([x is None for x in out])
+        self.reused += len(keys) - int(new.sum())
+        if new.any():
+            self.aligned += int(new.sum())
+            made = self.align(a[np.repeat(new, n_a)], b[np.repeat(new, n_b)], n_a[new], n_b[new])
+            for i, text, n, links in zip(np.flatnonzero(new).tolist(), *made):
+                out[i] = (text, n, links)
+                size = len(keys[i]) + len(text) + len(links) + 400
+                if size <= self.room >> 6:
+                    if self.used + size > self.room:
+                        self.known.clear()
+                        self.used = 0
+                    self.known[keys[i]] = out[i]
+                    self.used += size
+        return out
 
     def windows(self, ids: tuple[np.ndarray, np.ndarray], last: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Index behind the last token of every window, on both sides; `last` has the last token of each text."""
@@ -166,12 +179,13 @@ class Aligner:
         last = (np.cumsum([len(a) for a, _ in pairs]) - 1, np.cumsum([len(b) for _, b in pairs]) - 1)
         stops = self.windows(ids, last)
         one, kind = self.distinct(ids, stops)
-        starts = [np.concatenate((np.zeros(1, np.int64), s[:-1])) for s in stops]
-        found = [self.window(ids[0][starts[0][w]:stops[0][w]], ids[1][starts[1][w]:stops[1][w]]) for w in one.tolist()]
+        starts = [np.concatenate((np.zeros(1, np.int64), s[:-1]))[one] for s in stops]
+        each = [s[one] - b for s, b in zip(stops, starts)]
+        found = self.found(*(x[np.repeat(s, n) + _within(n)] for x, s, n in zip(ids, starts, each)), *each)
         doc = np.searchsorted(last[0], stops[0] - 1)
         counts = np.array([f[1] for f in found], np.int64)
-        sizes = np.array([len(f[2]) for f in found], np.int64)
-        links = np.concatenate([f[2] for f in found])
+        sizes = np.array([len(f[2]) for f in found], np.int64) >> 3
+        links = np.frombuffer(b"".join([f[2] for f in found]), np.int64)
         names, code = np.unique(links, return_inverse=True)
         n = sizes[kind]
         at = np.repeat((np.cumsum(sizes) - sizes)[kind], n) + _within(n)
@@ -180,7 +194,7 @@ class Aligner:
         n_groups = np.bincount(doc, counts[kind], len(pairs)).astype(np.int64)
         texts = np.array([f[0] for f in found], object)[kind]
         first = np.searchsorted(doc, np.arange(len(pairs) + 1))
-        return [(";".join(texts[first[i]:first[i + 1]].tolist()), int(n_groups[i]), names[own[cut[i]:cut[i + 1]] % len(names)], times[cut[i]:cut[i + 1]])
+        return [("".join(texts[first[i]:first[i + 1]].tolist())[:-1], int(n_groups[i]), names[own[cut[i]:cut[i + 1]] % len(names)], times[cut[i]:cut[i + 1]])
                 for i in range(len(pairs))]
 
 
