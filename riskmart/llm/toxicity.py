@@ -67,8 +67,8 @@ def _subsequences(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys, axis=1), np.concatenate(weights, axis=1)
 
 
-def _profiles(batch: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For groups of equally long words: their places in the batch, subsequence codes and weights."""
+def _groups(batch: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For groups of equally long words: their places in the batch and their code points, one row a word."""
     groups: dict[int, list[int]] = {}
     for i, w in enumerate(batch):
         groups.setdefault(len(w), []).append(i)
@@ -76,8 +76,8 @@ def _profiles(batch: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
         step = max(1, 400_000 // (max(length, 1) * len(_INNER)))
         for at in range(0, len(places), step):
             chosen = places[at:at + step]
-            codes = np.array([[ord(c) for c in batch[i]] for i in chosen], np.int64).reshape(len(chosen), length)
-            yield (np.array(chosen), *_subsequences(codes))
+            codes = np.frombuffer("".join([batch[i] for i in chosen]).encode("utf-32-le", "surrogatepass"), np.uint32)
+            yield np.array(chosen), codes.astype(np.int64).reshape(len(chosen), length)
 
 
 def _norms(keys: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -93,41 +93,85 @@ def _norms(keys: np.ndarray, weights: np.ndarray) -> np.ndarray:
 
 
 class Kernel:
-    """Normalised kernel of any words against fixed landmark words."""
+    """Normalised kernel of any words against fixed landmark words.
+
+    Subsequences are told by numbers over the letters of the landmarks alone; one with another letter has none. Each is
+    kept with the few landmarks that have it. A word's own norm is at least what its length says (equal subsequences only
+    add to it), so it is formed only where the value could reach FLOOR.
+    """
 
     def __init__(self, landmarks: list[str]):
         self.landmarks = landmarks
-        table: dict[int, np.ndarray] = {}
-        for places, keys, weights in _profiles(landmarks):
+        letters = sorted(set("".join(landmarks)) - {"\0"})
+        self.base = len(letters) + 1
+        self.ids = np.zeros(0x110000, np.int32 if self.base <= 128 else np.int64)
+        self.ids[[ord(c) for c in letters]] = np.arange(1, self.base)
+        table: dict[int, dict[int, float]] = {}
+        for places, codes in _groups(landmarks):
+            keys, weights = _subsequences(codes)
             norm = np.sqrt(np.maximum(_norms(keys, weights), 1e-300))
-            for row, place in enumerate(places):
-                for key, weight in zip(keys[row], weights[row]):
-                    if key:
-                        table.setdefault(int(key), np.zeros(len(landmarks), np.float32))[place] += weight / norm[row]
+            for numbers, weight in self._numbered(codes):
+                for row, place in enumerate(places.tolist()):
+                    for number in numbers[row][numbers[row] >= 0].tolist():
+                        own = table.setdefault(number, {})
+                        own[place] = own.get(place, 0.0) + weight / norm[row]
         self.keys = np.array(sorted(table), np.int64)
-        self.rows = np.array([table[k] for k in self.keys.tolist()], np.float32).reshape(len(table), len(landmarks))
-        # most subsequences belong to no landmark: a small table of hash bits tells without a search
-        self.bits = 1 << 18
-        self.maybe = np.zeros(self.bits, bool)
-        self.maybe[self.keys & (self.bits - 1)] = True
+        each = [sorted(table[k].items()) for k in self.keys.tolist()]
+        self.first = np.concatenate((np.zeros(1, np.int64), np.cumsum([len(x) for x in each], dtype=np.int64)))
+        self.owner = np.array([p for x in each for p, _ in x], np.int64)
+        self.value = np.array([v for x in each for _, v in x], float)
+        # by number where the numbers are few, else by search
+        self.direct = None
+        if self.base <= 128:
+            self.direct = np.full(self.base ** 3, -1, np.int32)
+            self.direct[self.keys] = np.arange(len(self.keys))
+
+    def _numbered(self, codes: np.ndarray) -> Iterator[tuple[np.ndarray, float]]:
+        """Numbers (negative: none) and weight of the subsequences with each pair of inner distances."""
+        n, length = codes.shape
+        ids = np.zeros((n, length + SPAN), self.ids.dtype)
+        ids[:, :length] = self.ids[codes]
+        # a missing letter in any place makes the number negative
+        none = ids.dtype.type(-self.base ** 3)
+        one, two, three = (np.where(ids > 0, ids * ids.dtype.type(self.base ** k), none) for k in (2, 1, 0))
+        for inner in _INNER:
+            i, j = int(inner[0]), int(inner[1])
+            yield one[:, :length] + two[:, i:i + length] + three[:, j:j + length], DECAY ** (j + 1)
+
+    def _known(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows that have a subsequence of a landmark, and its place in the table."""
+        if self.direct is not None:  # no subsequence has the number 0
+            at = self.direct[np.maximum(numbers, 0)]
+            row, column = np.nonzero(at >= 0)
+            return row, at[row, column]
+        row, column = np.nonzero(numbers >= 0)
+        wanted = numbers[row, column]
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        right = self.keys[at] == wanted
+        return row[right], at[right]
 
     def __call__(self, batch: list[str]) -> np.ndarray:
-        out = np.zeros((len(batch), len(self.landmarks)), np.float32)
+        m = len(self.landmarks)
+        out = np.zeros((len(batch), m), np.float32)
         if not len(self.keys):
             return out
-        for places, keys, weights in _profiles(batch):
-            hit = self.maybe[keys & (self.bits - 1)] & (keys != 0)
-            row, column = np.nonzero(hit)
-            at = np.searchsorted(self.keys, keys[row, column])
-            at[at == len(self.keys)] = 0
-            right = self.keys[at] == keys[row, column]
-            row, column, at = row[right], column[right], at[right]
-            if not len(row):
-                continue
-            some, first = np.unique(row, return_index=True)
-            sums = np.add.reduceat(self.rows[at] * weights[row, column][:, None].astype(np.float32), first, axis=0)
-            norm = np.sqrt(np.maximum(_norms(keys[some], weights[some]), 1e-300))
-            out[places[some]] = sums / norm[:, None]
+        for places, codes in _groups(batch):
+            n, length = codes.shape
+            cells, values, least = [], [], 0.0
+            for numbers, weight in self._numbered(codes):
+                row, at = self._known(numbers)
+                owners = self.first[at + 1] - self.first[at]
+                entry = np.repeat(self.first[at] - np.cumsum(owners) + owners, owners) + np.arange(owners.sum())
+                cells.append(np.repeat(row * m, owners) + self.owner[entry])
+                values.append(self.value[entry] * weight)
+                least += weight ** 2 * max(0, length - (round(np.log(weight) / np.log(DECAY)) - 1))
+            sums = np.bincount(np.concatenate(cells), np.concatenate(values), n * m).reshape(n, m)
+            top = sums.max(axis=1)
+            # a null character is no letter and lowers the norm: such words are always looked at
+            some = np.flatnonzero((top > 0) & ((top >= 0.999 * FLOOR * np.sqrt(least)) | (codes == 0).any(axis=1)))
+            if len(some):
+                norm = np.sqrt(np.maximum(_norms(*_subsequences(codes[some])), 1e-300))
+                out[places[some]] = sums[some] / norm[:, None]
         out[out < FLOOR] = 0
         return out
 
