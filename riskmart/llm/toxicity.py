@@ -262,12 +262,12 @@ def train(docs: DataFrame, labels: DataFrame, landmarks: int = LANDMARKS, rows:
     """Learn from labelled documents outside fold 2 of 4.
 
     Per class, the `rows` labelled identifiers with the smallest hash are used; word counts, landmark choice and the
-    machine rest on them. The counts are formed by a distributed aggregate; the driver gets the chosen words and one
+    machine rest on them. Labels other than 0 and 1 are ignored; landmarks have 3 to 40 letters. The counts are formed by a distributed aggregate; the driver gets the chosen words and one
     short vector for each chosen row.
     """
     spark = docs.sparkSession
-    known = labels.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("label")).filter(
-        F.col("label").isin(0, 1) & (fold(F.col("doc_id"), 4) != 2))
+    valid = labels.select("doc_id", F.col("toxic").cast("int").alias("label")).filter(F.col("label").isin(0, 1) & (fold(F.col("doc_id"), 4) != 2))
+    known = valid.groupBy("doc_id").agg(F.max("label").alias("label"))
     ranked = known.withColumn("order", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     chosen = None
     for k in (0, 1):
