@@ -40,6 +40,23 @@ def write_by_vintage(df: DataFrame, path: str, vintage: str = K.VINTAGE, keep_ot
     write_parquet(df, path, [vintage], keep_others)
 
 
+def store_bucketed(df: DataFrame, path: str, key: str = K.ID, buckets: int | None = None, placed: bool = False) -> DataFrame:
+    """Replace what is at the path by hash buckets of the key, sorted inside, and read them back.
+
+    The buckets are known to the session's catalogue, so joins and groupings of such tables on the key need no shuffle.
+    Rows are brought to their bucket first, one file a bucket, unless they are ``placed`` already, as the result of a
+    join of tables with the same number of buckets is. The default number is that of the shuffle partitions.
+    """
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    fs, target = _fs(spark, path)
+    fs.delete(target, True)
+    name = f"bucketed_{uuid.uuid4().hex}"
+    rows = df if placed else df.repartition(n, key)
+    rows.write.format("parquet").bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(name)
+    return spark.table(name).select(*df.columns)
+
+
 def write_by_month(df: DataFrame, path: str, day: str, year: str, month: str) -> None:
     """Year and month columns derived from a date, then a write partitioned by them."""
     write_parquet(df.withColumns(part_columns(day, year, month)), path, [year, month])

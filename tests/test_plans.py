@@ -192,6 +192,26 @@ def test_stored_stages_give_the_same_tables(spark, inputs, tmp_path):
     assert read_folder(spark, str(tmp_path / "plus_pagamento")).count() == lazy["plus_pagamento"].count()
 
 
+def test_books_meet_a_stored_base_without_a_shuffle(spark, tmp_path):
+    from riskmart.sources import writers
+    base = spark.range(500).select(F.col("id").cast("string").alias("ID_UNICO"), F.lit(1).alias("x"))
+    book = spark.range(0, 500, 3).select(F.col("id").cast("string").alias("ID_UNICO"), F.lit("a").alias("NUM_CPF"), F.lit(1).alias("SAFRA"),
+                                         F.col("id").alias("QTD_RECARGAS_HIST"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        stored = [writers.store_bucketed(df, str(tmp_path / n)) for n, df in (("base", base), ("book", book))]
+        joined = abt.with_recharge(*stored)
+        again = writers.store_bucketed(joined, str(tmp_path / "next"), placed=True)
+        third = abt.with_book(again, stored[1].withColumnRenamed("QTD_RECARGAS_HIST", "VAL"), "VAL", "SEM")
+        for df in (joined, third):
+            assert "SortMergeJoin" in (plan := df._jdf.queryExecution().executedPlan().toString()) and "Exchange" not in plan
+        assert len(list((tmp_path / "next").glob("part-*"))) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+        assert again.where("SEM_HISTORICO_RECARGA = 0").count() == third.where("SEM = 0").count() == 167 and third.count() == 500
+        assert writers.store_bucketed(base.limit(3), str(tmp_path / "base")).count() == 3
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_all_steps(inputs):
     steps = abt.build(*inputs)
     assert {n: df.count() for n, df in steps.items()} == {
