@@ -130,13 +130,11 @@ def auc_gini(scored: DataFrame, y: str, p: str, by: Sequence[str] = (), ranges:
 
 def direction_free_auc(scored: DataFrame, y: str, scores: Sequence[str], ranges: int | None = None) -> DataFrame:
     """AUC of several raw scores, each turned around when it ranks the wrong way."""
-    parts = []
-    for s in scores:
-        valid = scored.where(F.col(s).isNotNull())
-        parts.append(auc_gini(valid, y, s, ranges=ranges).select(
-            F.lit(s).alias("score"), F.greatest(F.col("auc"), 1 - F.col("auc")).alias("auc"),
-            (F.col("auc") < 0.5).alias("reversed")))
-    return reduce(DataFrame.unionByName, parts)
+    # the scores stand under each other as groups of one curve: one pass, one shuffle for all of them
+    each = F.explode(F.array(*[F.struct(F.lit(s).alias("score"), F.col(s).cast("double").alias("p")) for s in scores]))
+    long = scored.select(F.col(y).alias("y"), each.alias("s")).select("y", "s.score", "s.p").where("p is not null")
+    return auc_gini(long, "y", "p", by=["score"], ranges=ranges).select(
+        "score", F.greatest(F.col("auc"), 1 - F.col("auc")).alias("auc"), (F.col("auc") < 0.5).alias("reversed"))
 
 
 # --- threshold-based ---------------------------------------------------------

@@ -112,6 +112,37 @@ def sample_hashed(df: DataFrame, key: str, fraction: float, seed: int = K.SEED)
     return df if fraction >= 1 else df.where(_below(key, fraction, seed))
 
 
+#: Hexadecimal digits that one pass of the capped sample tells apart, and rows that may be left to sort at its end.
+_DIGITS, _LEFT = 4, 10_000
+
+
 def sample_capped(df: DataFrame, key: str, size: int, seed: int = K.SEED) -> DataFrame:
-    """At most ``size`` rows, those with the smallest key hashes."""
-    return df.orderBy(_hash(key, seed), F.col(key)).limit(size)
+    """At most ``size`` rows, those with the smallest key hashes (null keys first, ties by key).
+
+    The hash that ends the sample is found by counting: a pass counts rows by the next digits inside the one range that
+    is left, until few rows lie in it. All smaller hashes are kept by a filter; only the rows of the last range are sorted.
+    """
+    if size <= 0:
+        return df.limit(0)
+    hashed = df.withColumn("__hash", F.coalesce(_hash(key, seed), F.lit("")))
+    start, wanted = "", size
+    while True:
+        digits = len(start) + _DIGITS
+        head = F.substring("__hash", 1, digits)
+        counts = hashed.where(F.col("__hash").startswith(start)).groupBy(head.alias("h")).count().collect()
+        for r in sorted(counts, key=lambda r: r["h"]):
+            if r["count"] >= wanted:
+                last, n = r["h"], r["count"]
+                break
+            wanted -= r["count"]
+        else:
+            return df  # fewer rows than asked for
+        if n == wanted or n <= _LEFT or len(last) < digits or digits >= 32:
+            break
+        start = last
+    inside = F.substring("__hash", 1, len(last)) == last if last else F.col("__hash") == ""
+    below = hashed.where(F.col("__hash") < last) if last else hashed.limit(0)
+    rest = hashed.where(inside)
+    if n > wanted:
+        rest = rest.orderBy("__hash", F.col(key)).limit(wanted)
+    return below.unionByName(rest).drop("__hash")

@@ -176,3 +176,16 @@ def test_cuts_beyond_the_features_are_reported(pair):
     train, oot = pair["score_02"]["treino"], pair["score_02"]["oot"]
     with pytest.warns(UserWarning, match=r"\[50, 90\]: only 3 features"):
         assert T.stress_test(train, oot, FEATURES, cuts=[1, 50, 90], params={"n_estimators": 1}).count() == 1
+
+
+def test_capped_sample_equals_a_sort(spark, monkeypatch):
+    monkeypatch.setattr(splits, "_LEFT", 2)
+    monkeypatch.setattr(splits, "_DIGITS", 1)
+    df = spark.range(400).select(F.when(F.col("id") >= 5, F.concat(F.lit("k"), "id")).alias("key"), "id").repartition(6)
+    rows = df.orderBy(splits._hash("key", 42), "key").collect()
+    for size in (0, 3, 6, 37, 400, 900):
+        got = splits.sample_capped(df, "key", size)
+        assert got.columns == df.columns and got.count() == min(size, 400)
+        if size >= 5:  # rows without a key tie
+            assert {r.id for r in got.collect()} == {r.id for r in rows[:size]}
+    assert splits.sample_capped(df.limit(0), "key", 3).count() == 0
