@@ -108,3 +108,22 @@ def test_pivots(spark):
     assert flags == {"a": (0,), "b": (1,), "c": (0,)}
     with pytest.raises(ValueError, match="domain"):
         pivot.discover_domain(spark.range(20), "id", max_size=10)
+
+
+def test_maps_beyond_the_columns(spark):
+    df = spark.range(20_000).select((F.col("id") % 7).alias("k"), F.concat(F.lit("v"), F.col("id") % 5000).alias("c"), F.col("id"))
+    out = pivot.pivot_counts(df, "k", "c", "T")
+    assert out.columns == ["k", "QTD_T"] and out.agg(F.sum(F.size("QTD_T"))).first()[0] == df.select("k", "c").distinct().count()
+    assert out.select(F.explode("QTD_T")).agg(F.sum("value")).first()[0] == 20_000
+    flags = pivot.pivot_flags(df, "k", "c", "T", max_size=10).select(F.explode("FLG_T")).select("value").distinct().collect()
+    assert [r.value for r in flags] == [1]
+    narrow = pivot.pivot_counts(df, "k", "c", "T", max_size=5000)
+    assert len(narrow.columns) == 5001
+
+
+def test_domains_of_many_columns_in_one_job(spark):
+    df = spark.createDataFrame([("x", 1, None), ("y", None, None), (None, 2, None), ("x", 10, None)], "a string, b int, c string")
+    assert pivot.discover_domains(df, ["a", "b", "c"]) == {c: pivot.discover_domain(df, c) for c in "abc"}
+    assert pivot.discover_domains(df, ["b"]) == {"b": [1, 10, 2]} and pivot.discover_domains(df, []) == {}
+    with pytest.raises(ValueError, match="id"):
+        pivot.discover_domains(spark.range(20).withColumn("z", F.lit("z")), ["z", "id"], max_size=10)
