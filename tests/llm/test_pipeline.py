@@ -65,5 +65,5 @@ def test_empty_tables(spark, tmp_path):
 def test_registered():
     from __spark_entry__ import oracle_sql, queries
     names = [n for n in queries() if n.startswith("op") or n == "pipeline"]
-    assert sorted(n.split("_")[0] for n in names) == sorted([*(f"op{i}" for i in range(1, 11)), "pipeline"])
-    assert {"op1_decontamination", "op2_jaccard"} <= set(oracle_sql())
+    assert sorted(n.split("_")[0] for n in names) == sorted([*(f"op{i}" for i in range(1, 14)), "pipeline"])
+    assert {"op1_decontamination", "op2_jaccard", "op11_chat", "op12_resampling"} <= set(oracle_sql())
