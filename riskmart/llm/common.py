@@ -112,17 +112,19 @@ def components(edges: DataFrame, name: str, most_rounds: int = 64) -> DataFrame:
 
     Alternates the large-star and small-star steps: neighbours above a node are linked to the smallest one it knows,
     then those below. Every round is a grouping with map-side combining and a join, staged in the shared folder, and
-    ends when a round changes nothing; stars and chains take a logarithmic number of rounds. Nulls are left out.
+    ends when a round changes nothing; stars and chains take a logarithmic number of rounds. Nulls are left out. While
+    the edges counted in the round before are few, the smallest neighbours are broadcast (there is at most one a node).
     """
     edges = edges.filter("a is not null and b is not null and a <> b").select("a", "b").distinct()
     before = None
     for i in range(most_rounds):
+        few = F.broadcast if before is not None and 2 * before[0] <= BROADCAST_ROWS else lambda t: t
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        large = both.filter("b > a").join(few(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         low = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         floor = low.groupBy("a").agg(F.min("b").alias("m"))
-        small = low.join(floor, "a")
+        small = low.join(few(floor), "a")
         edges = staged(small.select("a", F.col("m").alias("b")).unionByName(
             small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct(), f"{name}-{i}")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

@@ -1,19 +1,18 @@
 """N-gram Jaccard join by grouped prefixes.
 
-Each text becomes its set of shingle hashes, ordered from rare to frequent. Two sets of a Jaccard similarity of at least
-t share a token among their first n - ceil(t n) + 1, so only these prefixes are compared. Equal sets are one, and sets
-with the same size and prefix form one group that is filtered as a whole: by size, and by what the places of a shared
-token leave for the overlap. Group pairs that pass are expanded to their members, and members are verified on whole sets.
-
-Links are needed for connected components, so pairs within a component already known are not compared again: the sets
-that share a token are first held against the one of them that shares most tokens (a star, not all pairs), components are
-formed, and then sets outside the largest component of a token are held against all others of another component there.
-Every pair that passes the filters is thus verified or already connected by verified links, in any group size.
-
-The order of tokens is by a bound on how many texts have them and then by hash. The bound is the smaller of two counts over
-all texts, each in a table of 2**SKETCH hash buckets: that of the shingle and that of its rarest word. Both are never too
-small; words grow much slower than shingles, so the second stays sharp at any size. Any order that is the same for all
-texts keeps the join exact; a coarse table only makes prefixes less selective.
+Each text becomes its set of shingle hashes, in the order of the hash. Two sets of a Jaccard similarity of at least t share
+k tokens among their first n - ceil(t n) + k, so only these prefixes are compared. How many sets have a token in their
+prefix is counted exactly; a set with too few tokens that another prefix has, too, has no partner and leaves. The others
+are found by their rarest shared tokens, so many that a pair still has one in common. Equal sets are one, and sets with the
+same size and prefix form one group that is filtered as a whole: by size, and by what the places of a shared token leave
+for the overlap. Group pairs that pass are expanded to their members, and members are verified on whole sets.
+
+Links are needed for connected components, so pairs within a component already known are not compared again, and no token
+is expanded to all its pairs. Sets that share a token are first held against the one of them that shares most tokens (a
+star), then components are formed. Tokens whose sets lie in several components go on: sets of their smallest components
+are the next hubs, all others of the token are held against them, hubs leave, components are formed again, until each
+token is left with one component. Hubs grow fourfold a round, so rounds grow with the logarithm of a list. Every pair that
+passes the filters is thus verified or already connected by verified links, in any group size.
 """
 
 from __future__ import annotations
@@ -23,16 +22,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from riskmart.llm.common import components, shingle_set, shingles, small, staged, word_hashes
+from riskmart.llm.common import components, shingle_set, small, staged
 
-SKETCH = 20
+#: A prefix holds this part more of the tokens that one shared token needs, so that several must be shared.
+EXTRA = 3
+#: Hubs a token in the first round after the star; each further round takes four times as many.
+HUBS = 4
 #: Hash buckets of a signature: how many tokens of a set fall into each bounds the overlap of two sets from above.
 SIGNATURE = 128
-_BLOCK = 1 << 12
 #: Up to this many needed sets are looked up while texts are read (8 bytes each); beyond it all sets go to the join.
 LOOKUP = 4_000_000
 
@@ -41,92 +42,48 @@ def digest(values: np.ndarray) -> bytes:
     return hashlib.blake2b(values.tobytes(), digest_size=16).digest()
 
 
-def _bucket(values: np.ndarray) -> np.ndarray:
-    return (values >> np.uint64(64 - SKETCH)).astype(np.int64)
-
-
 def signature(values: np.ndarray) -> bytes:
     return np.minimum(np.bincount((values & np.uint64(SIGNATURE - 1)).astype(np.int64), minlength=SIGNATURE), 65535).astype(np.uint16).tobytes()
 
 
+def common(n: int, num: int, den: int) -> int:
+    """How many tokens of their prefixes two sets share at similarity num/den if neither has fewer than n tokens."""
+    least = -(-num * n // den)
+    return min(1 + (n - least + 1) // EXTRA, least)
+
+
 def prefix_length(n: int, num: int, den: int) -> int:
-    """How many of its n tokens a set must show to be found at similarity num/den."""
-    return n - -(-num * n // den) + 1 if n else 0
+    """How many of its n tokens a set must show for that."""
+    return n - -(-num * n // den) + common(n, num, den) if n else 0
 
 
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
-def _sets(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
-    """Rows (doc_id, h, n, digest), and the sketch: how many texts have a word (first half) or a shingle (second
-    half) in each hash bucket."""
-    rows = _texts(docs).select("doc_id", "text", F.xxhash64("text").alias("h"))
+def _sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Rows (doc_id, h, n, digest, g, need, prefix, sig): g names the sets of this size and prefix, need is how many
+    tokens of the prefix any partner has in its own."""
+    rows = _texts(docs).select("doc_id", F.xxhash64("text").alias("h"), "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, id_type = np.zeros(2 << SKETCH, np.uint32), None
-        names = ["doc_id", "h", "n", "digest", "block", "counts"]
-        for batch in batches:
-            id_type, sizes, digests = batch.schema.field(0).type, [], []
-            for text in batch.column(1):
-                words = word_hashes(text.as_py())
-                s = np.unique(shingles(words, k))
-                counts[_bucket(words)] += np.uint32(1)
-                counts[_bucket(s) + (1 << SKETCH)] += np.uint32(1)
-                sizes.append(len(s))
-                digests.append(digest(s))
-            n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
-                                              pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
-        if id_type is not None:
-            blocks = counts.reshape(-1, _BLOCK)
-            n = len(blocks)
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, id_type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()),
-                                              pa.array(np.arange(n, dtype=np.int32)), pa.array([b.tobytes() for b in blocks], pa.binary())], names=names)
-
-    stored = staged(rows.mapInArrow(read, f"doc_id {kind}, h long, n long, digest binary, block int, counts binary"), "join-sets")
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for block, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                values = np.frombuffer(counts, np.uint32)
-                sums[block] = sums[block] + values if block in sums else values
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())],
-                                         names=["block", "counts"])
-
-    sketch = np.zeros(2 << SKETCH, np.uint32)
-    parts = stored.filter("block is not null").select("block", "counts")
-    for block, counts in parts.repartition("block").mapInArrow(add, "block int, counts binary").collect():
-        sketch[block * _BLOCK:(block + 1) * _BLOCK] += np.frombuffer(counts, np.uint32)
-    return stored.filter("block is null").drop("block", "counts"), sketch
-
-
-def _groups(docs: DataFrame, sketch: np.ndarray, k: int, num: int, den: int) -> DataFrame:
-    """Distinct (digest, g, n, prefix, sig): g names the group of sets with this size and prefix."""
-    shared = docs.sparkSession.sparkContext.broadcast(sketch)
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = shared.value
+        types = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary())
         for batch in batches:
             out = []
-            for text in batch.column(0):
-                words = word_hashes(text.as_py())
-                s, at = np.unique(shingles(words, k), return_index=True)
-                if len(s):
-                    p = prefix_length(len(s), num, den)
-                    own = counts[_bucket(words)]
-                    rarest = np.lib.stride_tricks.sliding_window_view(own, min(k, len(own))).min(axis=1)[at]
-                    weight = np.minimum(rarest, counts[_bucket(s) + (1 << SKETCH)])
-                    # s is ascending: a stable sort by weight leaves ties in the order of the hash
-                    first = s[np.argsort(weight, kind="stable")[:p]]
-                    out.append((digest(s), hashlib.blake2b(first.tobytes() + str(len(s)).encode(), digest_size=16).digest(), len(s), first.view(np.int64), signature(s)))
-            columns = list(zip(*out)) or [()] * 5
-            types = (pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["digest", "g", "n", "prefix", "sig"])
-
-    return staged(_texts(docs).select("text").mapInArrow(read, "digest binary, g binary, n long, prefix array<long>, sig binary").distinct(), "join-groups")
+            for text in batch.column(2):
+                s = shingle_set(text.as_py(), k)
+                n = len(s)
+                first = s[:prefix_length(n, num, den)]
+                group = hashlib.blake2b(first.tobytes() + str(n).encode(), digest_size=16).digest()
+                # no partner has fewer than ceil(t n) tokens
+                out.append((n, digest(s), group, common(-(-num * n // den), num, den), first.view(np.int64), signature(s) if n else b""))
+            columns = list(zip(*out)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(columns, types))],
+                                             names=["doc_id", "h", "n", "digest", "g", "need", "prefix", "sig"])
+
+    shape = f"doc_id {kind}, h long, n long, digest binary, g binary, need long, prefix array<long>, sig binary"
+    return staged(rows.mapInArrow(read, shape), "join-sets", compression="zstd")
 
 
 def _possible(pairs: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
@@ -144,11 +101,9 @@ def _possible(pairs: DataFrame, members: DataFrame, num: int, den: int) -> DataF
     return both.mapInArrow(bound, "a binary, b binary")
 
 
-def _verify(pairs: DataFrame, members: DataFrame, docs: DataFrame, k: int, num: int, den: int, name: str) -> DataFrame:
-    """The pairs (a, b) of set digests whose whole sets have a Jaccard similarity of at least num/den."""
-    pairs = staged(_possible(pairs, members, num, den), f"{name}-pairs")
-    need = staged(pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct(), f"{name}-need")
-    wanted = None
+def _items(need: DataFrame, docs: DataFrame, k: int, name: str) -> DataFrame:
+    """(digest, items): the whole sets of the digests in need."""
+    need, wanted = staged(need.distinct(), f"{name}-need"), None
     if need.count() <= LOOKUP:
         heads = need.select(F.conv(F.hex(F.substring("digest", 1, 7)), 16, 10).cast("long").alias("x")).toPandas()["x"].to_numpy(np.int64)
         wanted = docs.sparkSession.sparkContext.broadcast(np.unique(heads))
@@ -168,11 +123,14 @@ def _verify(pairs: DataFrame, members: DataFrame, docs: DataFrame, k: int, num:
             columns = list(zip(*out)) or [(), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], names=["digest", "items"])
 
-    sets = _texts(docs).select("text").mapInArrow(read, "digest binary, items binary").distinct()
+    sets = _texts(docs).select("text").mapInArrow(read, "digest binary, items binary").dropDuplicates(["digest"])
     if wanted is None:
         sets = sets.join(need, "digest", "leftsemi")
-    sets = staged(sets, f"{name}-items")
+    return staged(sets, f"{name}-items")
 
+
+def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int, name: str) -> DataFrame:
+    """The pairs (a, b) of set digests whose whole sets have a Jaccard similarity of at least num/den."""
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -189,62 +147,82 @@ def _verify(pairs: DataFrame, members: DataFrame, docs: DataFrame, k: int, num:
     return staged(both.mapInArrow(compare, "a binary, b binary"), f"{name}-links")
 
 
-def links(docs: DataFrame, sketch: np.ndarray, k: int, num: int, den: int) -> DataFrame:
-    """Components (node, root) of set digests under similarity num/den; sets without a partner are left out."""
-    groups = _groups(docs, sketch, k, num, den)
-    tokens = groups.select("g", "n", "prefix").distinct().select("g", "n", F.posexplode("prefix").alias("pos", "token"))
-    shared = staged(tokens.groupBy("token").count().filter("count > 1").select("token"), "join-tokens")
-    entries = staged(tokens.join(small(shared), "token"), "join-entries")
-    members = groups.select("digest", "g", "sig")
-    crowded = staged(members.groupBy("g").count().filter("count > 1").select("g"), "join-crowded")
-    needed = entries.select("g").distinct().union(crowded).distinct()
-    members = staged(members.join(needed, "g", "leftsemi"), "join-members")
-    first = members.groupBy("g").agg(F.min("digest").alias("rep"))
+def _fits(x: str, y: str, num: int, den: int) -> Column:
+    """Sizes near enough, and room for the shared tokens of the prefixes from the token's places on."""
+    n, room, need = ([F.col(f"{s}.{c}") for s in (x, y)] for c in ("n", "room", "need"))
+    return (den * F.least(*n) >= num * F.greatest(*n)) & (F.least(*room) >= F.greatest(*need))
 
-    def fits(x: str, y: str):
-        """Sizes near enough, and room for the overlap after the token's places in both."""
-        nx, ny, px, py = (F.col(f"{s}.{c}") for c in ("n", "pos") for s in (x, y))
-        room = F.least(nx - px, ny - py)
-        return (den * F.least(nx, ny) >= num * F.greatest(nx, ny)) & ((num + den) * room >= num * (nx + ny))
 
-    def ordered(a, b):
-        return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
+def _ordered(a: str, b: str) -> tuple[Column, Column]:
+    return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
+
+
+def _entries(groups: DataFrame, crowded: DataFrame) -> DataFrame:
+    """(token, g, n, need, room): the rarest shared tokens of every group that has enough of them; room is the number of
+    shared tokens of its prefix from this one on."""
+    heads = groups.join(small(crowded), "g", "left").filter("rep is null or rep = digest")
+    tokens = heads.select("g", "n", "need", F.explode("prefix").alias("token"))
+    counts = tokens.groupBy("token").agg(F.count("*").alias("sets")).filter("sets > 1")
+    of_group = Window.partitionBy("g")
+    ranked = tokens.join(counts, "token").withColumn("place", F.row_number().over(of_group.orderBy("sets", "token"))).withColumn(
+        "shared", F.count("*").over(of_group))
+    # tokens of no other prefix would come first in the order; they find nothing
+    return staged(ranked.withColumn("room", F.col("shared") - F.col("place") + 1).filter("room >= need").select(
+        "token", "g", "n", "need", "room"), "join-entries")
+
+
+def links(sets: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Components (node, root) of set digests under similarity num/den; sets without a possible partner are left out."""
+    groups = staged(sets.filter("n > 0").drop("doc_id", "h").dropDuplicates(["digest"]), "join-groups", compression="zstd")
+    crowded = staged(groups.groupBy("g").agg(F.min("digest").alias("rep"), F.count("*").alias("size")).filter("size > 1").select("g", "rep"), "join-crowded")
+    entries = _entries(groups, crowded)
+    needed = small(staged(entries.select("g").union(crowded.select("g")).distinct(), "join-needed"))
+    members = staged(groups.drop("prefix").join(needed, "g", "leftsemi"), "join-members", compression="zstd")
+    first = members.groupBy("g").agg(F.min("digest").alias("rep"))
 
     # the hub of a token shares most of its prefix with others; the same set is then the hub of most of its tokens
     degree = entries.groupBy("g").agg((-F.count("*")).alias("degree"))
-    hubs = entries.join(degree, "g").groupBy("token").agg(F.min(F.struct("degree", "g", "pos", "n")).alias("hub"))
-    star = entries.alias("e").join(hubs.select("token", "hub.pos", "hub.g", "hub.n").alias("h"), "token").filter(
-        (F.col("e.g") != F.col("h.g")) & fits("e", "h")).select(F.col("e.g").alias("g1"), F.col("h.g").alias("g2")).distinct()
-    star = star.join(first.select(F.col("g").alias("g1"), F.col("rep").alias("r1")), "g1").join(
-        first.select(F.col("g").alias("g2"), F.col("rep").alias("r2")), "g2").select(*ordered(F.col("r1"), F.col("r2")))
-    inside = members.join(crowded, "g").join(first, "g").filter("digest <> rep").select(*ordered(F.col("rep"), F.col("digest")))
-    tried = staged(star.union(inside).distinct(), "join-star")
-    linked = _verify(tried, members, docs, k, num, den, "join-star")
-
-    known = components(linked, "join-first")
-    rooted = staged(members.join(known, F.col("digest") == F.col("node"), "left").select(
-        "g", "digest", F.coalesce("root", "digest").alias("root")), "join-rooted")
-    of_group = rooted.groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    # a group whose members lie in several components has no component of its own
-    placed = staged(entries.join(of_group, "g").select("token", "g", "n", "pos", F.when(F.col("low") == F.col("high"), F.col("low")).alias("root")), "join-placed")
-    mixed = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count_if(F.col("root").isNull()).alias("open")).filter(
-        "open > 0 or low <> high").select("token")
-    rest = placed.join(mixed, "token", "leftsemi")
-    largest = rest.filter("root is not null").groupBy("token", "root").count().withColumn(
-        "place", F.row_number().over(Window.partitionBy("token").orderBy(F.desc("count"), "root"))).filter("place = 1").select("token", F.col("root").alias("top"))
-    minor = rest.join(largest, "token", "left").filter("root is null or top is null or root <> top").drop("top")
-    apart = minor.alias("x").join(rest.alias("y"), "token").filter(
-        (F.col("x.root").isNull() | F.col("y.root").isNull() | (F.col("x.root") != F.col("y.root"))) & fits("x", "y")).select(
-        F.col("x.g").alias("g1"), F.col("y.g").alias("g2")).union(
-        of_group.filter("low <> high").select(F.col("g").alias("g1"), F.col("g").alias("g2"))).distinct()
-    one, two = rooted.select(F.col("g").alias("g1"), F.col("digest").alias("d1"), F.col("root").alias("r1")), rooted.select(
-        F.col("g").alias("g2"), F.col("digest").alias("d2"), F.col("root").alias("r2"))
-    more = staged(apart.join(one, "g1").join(two, "g2").filter("r1 <> r2").select(*ordered(F.col("d1"), F.col("d2"))).distinct().join(
-        tried, ["a", "b"], "leftanti"), "join-apart")
-    if more.isEmpty():
-        return known
-    late = _verify(more, members, docs, k, num, den, "join-apart")
-    return components(linked.union(late), "join-last")
+    hubs = staged(entries.join(degree, "g").groupBy("token").agg(F.min(F.struct("degree", "g", "n", "need", "room")).alias("hub"), F.count("*").alias("size")).filter(
+        "size > 1").select("token", "hub.g", "hub.n", "hub.need", "hub.room").join(first, "g"), "join-hubs")
+    star = entries.alias("e").join(hubs.alias("h"), "token").filter((F.col("e.g") != F.col("h.g")) & _fits("e", "h", num, den)).select("e.g", "h.rep").distinct()
+    tried = star.join(members.select("g", "digest"), "g").select(*_ordered("rep", "digest")).union(
+        members.join(crowded, "g").filter("digest <> rep").select(*_ordered("rep", "digest")))
+    pairs = staged(_possible(tried, members, num, den), "join-star-pairs")
+    items = _items(pairs.select(F.col("a").alias("digest")).union(pairs.select("b")), docs, k, "join-star")
+    known = components(_verify(pairs, items, num, den, "join-star"), "join-star")
+
+    rooted = staged(members.select("digest", "g", "n", "need").join(known, F.col("digest") == F.col("node"), "left").select(
+        "digest", "g", "n", "need", F.coalesce("root", "digest").alias("root")), "join-rooted")
+    # a group is one more list of sets, named by a hash of its name, in which places say nothing
+    lists = entries.select("token", "g", "room").join(hubs.select("token"), "token", "leftsemi").union(
+        crowded.select(F.xxhash64("g"), "g", F.lit(None).cast("long")))
+    done = hubs.select("token", F.col("rep").alias("digest")).union(crowded.select(F.xxhash64("g"), "rep"))
+    rest = lists.join(rooted, "g").select("token", "digest", "n", "need", F.coalesce("room", "n").alias("room"), "root").join(
+        done, ["token", "digest"], "leftanti")
+    rooted, items, width, turn = rooted.select("digest", "root"), None, HUBS, 0
+    while True:
+        name = f"join-late-{turn}"
+        mixed = rest.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("token")
+        rest = staged(rest.join(mixed, "token", "leftsemi"), f"{name}-rest")
+        if rest.isEmpty():
+            return rooted.select(F.col("digest").alias("node"), "root")
+        sizes = rest.groupBy("token", "root").agg(F.count("*").alias("size"))
+        smallest = Window.partitionBy("token").orderBy("size", "root", "digest")
+        hubs = staged(rest.join(sizes, ["token", "root"]).withColumn("place", F.row_number().over(smallest)).filter(F.col("place") <= width).drop("size", "place"), f"{name}-hubs")
+        tried = rest.alias("e").join(hubs.alias("h"), "token").filter((F.col("e.root") != F.col("h.root")) & _fits("e", "h", num, den)).select(
+            *_ordered("e.digest", "h.digest"))
+        pairs = staged(_possible(tried, members, num, den), f"{name}-pairs")
+        rest = rest.join(hubs.select("token", "digest"), ["token", "digest"], "leftanti")
+        if not pairs.isEmpty():
+            if items is None:
+                items = _items(rest.select("digest").union(hubs.select("digest")), docs, k, "join-late")
+            found = _verify(pairs, items, num, den, name)
+            of = rooted.select(F.col("digest").alias("a"), F.col("root").alias("x")), rooted.select(F.col("digest").alias("b"), F.col("root").alias("y"))
+            moves = small(staged(components(found.join(of[0], "a").join(of[1], "b").select(F.col("x").alias("a"), F.col("y").alias("b")), name).select(
+                F.col("node").alias("root"), F.col("root").alias("to")), f"{name}-moves"))
+            rest, rooted = (t.join(moves, "root", "left").withColumn("root", F.coalesce("to", "root")).drop("to") for t in (rest, rooted))
+            rooted = staged(rooted.select("digest", "root"), f"{name}-rooted")
+        width, turn = 4 * width, turn + 1
 
 
 def link(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -253,8 +231,8 @@ def link(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     Texts without words have no set and are linked with nothing. Rows with equal sets are linked. component_id is the
     smallest identifier reachable by links; null identifiers are passed over, and it is null where there is no other.
     """
-    rows, sketch = _sets(docs, k)
-    found = links(docs, sketch, k, num, den)
+    rows = _sets(docs, k, num, den)
+    found = links(rows, docs, k, num, den)
     least = rows.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("least"))
     rooted = least.join(found, F.col("digest") == F.col("node"), "left").select("digest", "least", F.coalesce("root", "digest").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("least").alias("component"))
