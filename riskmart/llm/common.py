@@ -121,7 +121,7 @@ def components(edges: DataFrame, name: str, most_rounds: int = 64) -> DataFrame:
         few = F.broadcast if before is not None and 2 * before[0] <= BROADCAST_ROWS else lambda t: t
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.filter("b > a").join(few(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        large = both.filter("b > a").join(few(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
         low = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         floor = low.groupBy("a").agg(F.min("b").alias("m"))
         small = low.join(few(floor), "a")

@@ -11,7 +11,7 @@ Links are needed for connected components, so pairs within a component already k
 is expanded to all its pairs. Sets that share a token are first held against the one of them that shares most tokens (a
 star), then components are formed. Tokens whose sets lie in several components go on: sets of their smallest components
 are the next hubs, all others of the token are held against them, hubs leave, components are formed again, until each
-token is left with one component. Hubs grow fourfold a round, so rounds grow with the logarithm of a list. Every pair that
+token is left with one component. Hubs grow eightfold a round, so rounds grow with the logarithm of a list. Every pair that
 passes the filters is thus verified or already connected by verified links, in any group size.
 """
 
@@ -30,8 +30,8 @@ from riskmart.llm.common import components, shingle_set, small, staged
 
 #: A prefix holds this part more of the tokens that one shared token needs, so that several must be shared.
 EXTRA = 3
-#: Hubs a token in the first round after the star; each further round takes four times as many.
-HUBS = 4
+#: Hubs a token in the first round after the star; each further round takes eight times as many.
+HUBS = 16
 #: Hash buckets of a signature: how many tokens of a set fall into each bounds the overlap of two sets from above.
 SIGNATURE = 128
 #: Up to this many needed sets are looked up while texts are read (8 bytes each); beyond it all sets go to the join.
@@ -142,7 +142,10 @@ def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int, name: str) ->
                 keep.append(den * same >= num * (len(both) - same))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
+    # few pairs go to the sets, so that no others move
+    pairs, ends = small(pairs), small(staged(pairs.select(F.col("b").alias("digest")).distinct(), f"{name}-ends"))
     left = pairs.join(sets.select(F.col("digest").alias("a"), F.col("items").alias("x")), "a")
+    sets = sets.join(ends, "digest", "leftsemi")
     both = left.join(sets.select(F.col("digest").alias("b"), F.col("items").alias("y")), "b").select("a", "b", "x", "y")
     return staged(both.mapInArrow(compare, "a binary, b binary"), f"{name}-links")
 
@@ -194,11 +197,10 @@ def links(sets: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataF
     rooted = staged(members.select("digest", "g", "n", "need").join(known, F.col("digest") == F.col("node"), "left").select(
         "digest", "g", "n", "need", F.coalesce("root", "digest").alias("root")), "join-rooted")
     # a group is one more list of sets, named by a hash of its name, in which places say nothing
-    lists = entries.select("token", "g", "room").join(hubs.select("token"), "token", "leftsemi").union(
-        crowded.select(F.xxhash64("g"), "g", F.lit(None).cast("long")))
-    done = hubs.select("token", F.col("rep").alias("digest")).union(crowded.select(F.xxhash64("g"), "rep"))
-    rest = lists.join(rooted, "g").select("token", "digest", "n", "need", F.coalesce("room", "n").alias("room"), "root").join(
-        done, ["token", "digest"], "leftanti")
+    lists = entries.select("token", "g", "room").join(hubs.select("token", "rep"), "token").union(
+        crowded.select(F.xxhash64("g"), "g", F.lit(None).cast("long"), "rep"))
+    rest = staged(lists.join(rooted, "g").filter("digest <> rep").select(
+        "token", "digest", "n", "need", F.coalesce("room", "n").alias("room"), "root"), "join-lists")
     rooted, items, width, turn = rooted.select("digest", "root"), None, HUBS, 0
     while True:
         name = f"join-late-{turn}"
@@ -222,7 +224,7 @@ def links(sets: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataF
                 F.col("node").alias("root"), F.col("root").alias("to")), f"{name}-moves"))
             rest, rooted = (t.join(moves, "root", "left").withColumn("root", F.coalesce("to", "root")).drop("to") for t in (rest, rooted))
             rooted = staged(rooted.select("digest", "root"), f"{name}-rooted")
-        width, turn = 4 * width, turn + 1
+        width, turn = 8 * width, turn + 1
 
 
 def link(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
