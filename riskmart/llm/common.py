@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -107,17 +109,55 @@ def shingle_set(text: str | None, k: int) -> np.ndarray:
     return np.unique(shingles(word_hashes(text), k))
 
 
+#: Edges that one task contracts by itself.
+EDGES = 200_000
+
+
+def _contracted(edges: DataFrame, count: int) -> DataFrame:
+    """Edges (node, smallest node of its component within the task), the same components in fewer and shorter paths.
+
+    Tasks grow with the number of edges, so each holds some EDGES of them.
+    """
+    def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict = {}
+
+        def find(x):
+            top = x
+            while parent[top] != top:
+                top = parent[top]
+            while parent[x] != top:
+                parent[x], x = top, parent[x]
+            return top
+
+        schema = None
+        for batch in batches:
+            schema = batch.schema
+            for a, b in zip(*(batch.column(i).to_pylist() for i in (0, 1))):
+                a, b = (find(parent.setdefault(x, x)) for x in (a, b))
+                parent[max(a, b)] = min(a, b)
+        if schema is not None:
+            below = [(x, find(x)) for x in parent if parent[x] != x]
+            for i in range(0, len(below), 100_000):
+                columns = list(zip(*below[i:i + 100_000]))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], names=["a", "b"])
+
+    kind = edges.schema["a"].dataType.simpleString()
+    return edges.coalesce(-(-count // EDGES) or 1).mapInArrow(forest, f"a {kind}, b {kind}")
+
+
 def components(edges: DataFrame, name: str, most_rounds: int = 64) -> DataFrame:
     """Connected components of undirected edges (a, b): rows (node, root), root the smallest node of a component.
 
-    Alternates the large-star and small-star steps: neighbours above a node are linked to the smallest one it knows,
-    then those below. Every round is a grouping with map-side combining and a join, staged in the shared folder, and
-    ends when a round changes nothing; stars and chains take a logarithmic number of rounds. Nulls are left out. While
-    the edges counted in the round before are few, the smallest neighbours are broadcast (there is at most one a node).
+    Tasks first contract the edges they hold; if all fit one task, that is the result. Otherwise large-star and small-star
+    steps alternate: neighbours above a node are linked to the smallest one it knows, then those below. Every round is a
+    grouping with map-side combining and a join, staged in the shared folder, and ends when a round changes nothing; stars
+    and chains take a logarithmic number of rounds. Nulls are left out. While the edges counted in the round before are
+    few, the smallest neighbours are broadcast (there is at most one a node).
     """
-    edges = edges.filter("a is not null and b is not null and a <> b").select("a", "b").distinct()
-    before = None
-    for i in range(most_rounds):
+    edges = staged(edges.filter("a is not null and b is not null and a <> b").select("a", "b"), f"{name}-edges")
+    count = edges.count()
+    edges, before = staged(_contracted(edges, count), f"{name}-forest"), None
+    for i in range(most_rounds if count > EDGES else 0):
         few = F.broadcast if before is not None and 2 * before[0] <= BROADCAST_ROWS else lambda t: t
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -132,6 +172,7 @@ def components(edges: DataFrame, name: str, most_rounds: int = 64) -> DataFrame:
             break
         before = now
     else:
-        raise RuntimeError("components did not settle")
+        if count > EDGES:
+            raise RuntimeError("components did not settle")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
-        edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
+        edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 
+from riskmart.llm import common
 from riskmart.llm.common import components, shingles, word_hashes
 
 
@@ -36,3 +37,19 @@ def test_components(spark):
     assert got == {x: find(x) for e in edges if e[0] != e[1] for x in e}
     assert components(spark.createDataFrame([], "a long, b long"), "t").count() == 0
     assert np.all([k >= v for k, v in got.items()])
+
+
+def test_components_of_one_and_of_several_tasks_are_equal(spark, monkeypatch):
+    rnd = random.Random(9)
+    names = [bytes([rnd.randrange(256) for _ in range(4)]) for _ in range(300)]
+    edges = [tuple(rnd.sample(names, 2)) for _ in range(170)] + list(zip(names[:40], names[1:41]))
+    frame = spark.createDataFrame([(bytearray(a), bytearray(b)) for a, b in edges + edges[:9]], "a binary, b binary").repartition(5)
+
+    def rows():
+        return sorted((bytes(r["node"]), bytes(r["root"])) for r in components(frame, "t").collect())
+    one = rows()
+    assert all(root <= node for node, root in one) and {n for n, _ in one} == {x for e in edges for x in e}
+    of = dict(one)
+    assert len(of) == len(one) and all(of[a] == of[b] for a, b in edges)
+    monkeypatch.setattr(common, "EDGES", 30)
+    assert rows() == one
