@@ -10,7 +10,7 @@ from riskmart.catalogue import query
 from riskmart.models import estimators as E
 from riskmart.operators import splits
 from riskmart.session import cut_lineage, shared_folder
-from riskmart.sources import readers, writers
+from riskmart.sources import readers, versions, writers
 from riskmart.streaming import landing
 
 
@@ -91,6 +91,17 @@ def _(t):
     return readers.read_parquet(t.spark, path)
 
 
+@query("io_versions", """
+SELECT c_custkey, 1 AS version, CAST(c_acctbal AS DOUBLE) AS SALARIO_FUNC_PUBL FROM customer
+UNION ALL SELECT c_custkey, 2, CAST(CASE WHEN c_acctbal < -1 THEN 0.0 ELSE c_acctbal END AS DOUBLE) FROM customer""")
+def _(t):
+    root = _folder(t, "versions")
+    versions.publish(t.customer.select("c_custkey", F.col("c_acctbal").cast("double").alias("SALARIO_FUNC_PUBL")), root)
+    versions.correct(t.spark, root, writers.correct_columns)
+    first, second = (versions.read(t.spark, root, n).withColumn("version", F.lit(n)) for n in versions.versions(t.spark, root))
+    return first.unionByName(second)
+
+
 @query("io_reports", "SELECT l_returnflag AS feature, count(*) AS n FROM lineitem GROUP BY l_returnflag")
 def _(t):
     root = _folder(t, "reports")
