@@ -65,7 +65,7 @@ FROM ({WEEKLY_SPINE}) s JOIN (SELECT event_id, user_id, CAST(ts AS DATE) AS day
   ON e.user_id = s.NUM_CPF AND e.day < s.CUT""")
 def _(t):
     events = t.events.select("event_id", "user_id", F.to_date("ts").alias("day"))
-    joined = history.events_before(weekly_spine(t), events, "user_id", "day", spine_customer=K.CUSTOMER)
+    joined = history.events_before_by_month(weekly_spine(t), events, "user_id", "day", spine_customer=K.CUSTOMER)
     return joined.select(K.ID, K.CUSTOMER, K.VINTAGE, "event_id", F.datediff(K.CUTOFF, "day").alias("DIAS"))
 
 

@@ -49,6 +49,28 @@ def events_before(spine_df: DataFrame, events: DataFrame, customer: str, event_d
     return out.drop(events[customer]) if left == customer else out
 
 
+def events_before_by_month(spine_df: DataFrame, events: DataFrame, customer: str, event_day: str,
+                           cutoff: str = K.CUTOFF, spine_customer: str | None = None) -> DataFrame:
+    """The rows of ``events_before``, with the events of a customer spread over their months.
+
+    A spine row is carried to every month up to its cutoff in which its customer has events, and meets them there by
+    (customer, month): a customer with a large part of all events fills as many tasks as it has months. Only the distinct
+    pairs of customer and month, found with map-side combining, and the spine are joined by customer alone; events move
+    once. Rows without a day, a cutoff or a customer meet nothing. Worth it where customers are uneven.
+    """
+    left = spine_customer or customer
+    month = F.year(event_day) * 12 + F.month(event_day)
+    known = events.where(F.col(event_day).isNotNull() & F.col(customer).isNotNull())
+    months = known.groupBy(F.col(customer).alias("__customer"), month.alias("__month")).agg(F.min(event_day).alias("__first"))
+    carried = spine_df.join(months, (F.col(left) == F.col("__customer")) & (F.col("__first") < F.col(cutoff))).drop("__first")
+    # events under names of their own: both sides may come from one table
+    named = {c: f"__event_{i}" for i, c in enumerate(events.columns)}
+    placed = known.select(*[F.col(c).alias(n) for c, n in named.items()], month.alias("__event_month"))
+    out = carried.join(placed, (F.col("__customer") == F.col(named[customer])) & (F.col("__month") == F.col("__event_month"))
+                       & (F.col(named[event_day]) < F.col(cutoff)))
+    return out.select(*spine_df.columns, *[F.col(n).alias(c) for c, n in named.items() if left != customer or c != customer])
+
+
 def until(events: DataFrame, day: str, latest: str | None, year: str | None = None) -> DataFrame:
     """Events before the latest cutoff of interest; the filter reaches the scan.
 

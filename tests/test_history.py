@@ -127,3 +127,30 @@ def test_domains_of_many_columns_in_one_job(spark):
     assert pivot.discover_domains(df, ["b"]) == {"b": [1, 10, 2]} and pivot.discover_domains(df, []) == {}
     with pytest.raises(ValueError, match="id"):
         pivot.discover_domains(spark.range(20).withColumn("z", F.lit("z")), ["z", "id"], max_size=10)
+
+
+def test_a_hot_customer_meets_its_cutoffs_month_by_month(spark):
+    """A third of all events belongs to one customer: same rows as the plain join, and no task far above the others."""
+    day = F.date_add(F.lit("2023-01-01").cast("date"), (F.col("id") % 720).cast("int"))
+    e = spark.range(30_000).select("id", F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(
+        F.concat(F.lit("c"), (F.xxhash64("id") % 400).cast("string"))).alias("c"), day.alias("d"))
+    e = e.union(spark.createDataFrame([(-1, "hot", None), (-2, None, dt.date(2023, 1, 5))], "id long, c string, d date"))
+    who = e.select("c").distinct().union(spark.createDataFrame([("none",)], "c string"))
+    spine = H.spine_at(who, "c", {202305: "2023-05-01", 202402: "2024-02-17", 202412: "2024-12-31", 202201: "2022-01-01"})
+    plain = H.events_before(spine, e, "c", "d", spine_customer=K.CUSTOMER)
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = H.events_before_by_month(spine, e, "c", "d", spine_customer=K.CUSTOMER)
+        assert got.columns == plain.columns and got.count() == plain.count() > 0
+        assert got.exceptAll(plain).isEmpty() and plain.exceptAll(got).isEmpty()
+        tasks = sorted(r["count"] for r in got.groupBy(F.spark_partition_id().alias("p")).count().collect())
+        assert tasks[-1] <= 3 * tasks[len(tasks) // 2]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    same = H.events_before_by_month(spine.withColumnRenamed(K.CUSTOMER, "c"), e, "c", "d")
+    assert same.columns.count("c") == 1 and same.count() == plain.count()
+    assert H.events_before_by_month(spine, e.limit(0), "c", "d", spine_customer=K.CUSTOMER).isEmpty()
