@@ -57,3 +57,25 @@ def test_entry(spark):
 def test_names_of_both_contracts_agree():
     from __spark_entry__ import oracle_sql, queries
     assert set(oracle_sql()) <= set(queries()) and len(queries()) >= 150
+
+
+def test_shuffle_parts_grow_with_the_tables_read(spark, monkeypatch):
+    from __spark_entry__ import SMOKE_FOLDER
+    from riskmart import session
+    from riskmart.catalogue import Tables
+    least, advised = int(spark.conf.get("spark.sql.shuffle.partitions")), spark.conf.get(session.ADVISED)
+    try:
+        t = Tables(spark, SMOKE_FOLDER)
+        t.orders, t.lineitem
+        assert session.parts(spark) == least and spark.conf.get(session.ADVISED) == advised
+        monkeypatch.setattr(session, "PART_BYTES", 1000)
+        t = Tables(spark, SMOKE_FOLDER)
+        t.orders
+        first = session.parts(spark)
+        t.lineitem, t.orders
+        assert least < first < session.parts(spark) and session.parts(spark) == -(-sum(t._sizes.values()) // 1000)
+        plan = spark.range(10_000).selectExpr("id % 7 AS k").groupBy("k").count()._jdf.queryExecution().executedPlan().toString()
+        assert f", {session.parts(spark)})" in plan and spark.conf.get(session.ADVISED) == str(session.TOGETHER)
+    finally:
+        spark.conf.unset(session.PARTS)
+        spark.conf.set(session.ADVISED, advised)
