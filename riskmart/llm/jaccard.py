@@ -5,7 +5,8 @@ k tokens among their first n - ceil(t n) + k, so only these prefixes are compare
 prefix is counted exactly; a set with too few tokens that another prefix has, too, has no partner and leaves. The others
 are found by their rarest shared tokens, so many that a pair still has one in common. Equal sets are one, and sets with the
 same size and prefix form one group that is filtered as a whole: by size, and by what the places of a shared token leave
-for the overlap. Group pairs that pass are expanded to their members, and members are verified on whole sets.
+for the overlap. Group pairs that pass are expanded to their members, and members are verified on whole sets. Sets also show the parities of 256 hash buckets. Two of them differ in at least as many
+tokens as parities, so most pairs without a chance leave inside the join on a token, before they become rows.
 
 Links are needed for connected components, so pairs within a component already known are not compared again, and no token
 is expanded to all its pairs. Sets that share a token are first held against the one of them that shares most tokens (a
@@ -34,6 +35,8 @@ EXTRA = 3
 HUBS = 16
 #: Hash buckets of a signature: how many tokens of a set fall into each bounds the overlap of two sets from above.
 SIGNATURE = 128
+#: Parities of hash buckets, 64 in each of these columns.
+PARITY = ["w0", "w1", "w2", "w3"]
 #: Up to this many needed sets are looked up while texts are read (8 bytes each); beyond it all sets go to the join.
 LOOKUP = 4_000_000
 
@@ -46,6 +49,12 @@ def signature(values: np.ndarray) -> bytes:
     return np.minimum(np.bincount((values & np.uint64(SIGNATURE - 1)).astype(np.int64), minlength=SIGNATURE), 65535).astype(np.uint16).tobytes()
 
 
+def parities(values: np.ndarray) -> list[int]:
+    """Whether each of 256 hash buckets holds an odd number of the tokens, as four signed 64-bit integers."""
+    odd = np.bincount(((values >> np.uint64(7)) & np.uint64(64 * len(PARITY) - 1)).astype(np.int64), minlength=64 * len(PARITY)) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def common(n: int, num: int, den: int) -> int:
     """How many tokens of their prefixes two sets share at similarity num/den if neither has fewer than n tokens."""
     least = -(-num * n // den)
@@ -62,13 +71,13 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Rows (doc_id, h, n, digest, g, need, prefix, sig): g names the sets of this size and prefix, need is how many
-    tokens of the prefix any partner has in its own."""
+    """Rows (doc_id, h, n, digest, g, need, prefix, sig, w0 ..): g names the sets of this size and prefix, need is how
+    many tokens of the prefix any partner has in its own."""
     rows = _texts(docs).select("doc_id", F.xxhash64("text").alias("h"), "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary())
+        types = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary(), *(pa.int64() for _ in PARITY))
         for batch in batches:
             out = []
             for text in batch.column(2):
@@ -77,12 +86,13 @@ def _sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 first = s[:prefix_length(n, num, den)]
                 group = hashlib.blake2b(first.tobytes() + str(n).encode(), digest_size=16).digest()
                 # no partner has fewer than ceil(t n) tokens
-                out.append((n, digest(s), group, common(-(-num * n // den), num, den), first.view(np.int64), signature(s) if n else b""))
-            columns = list(zip(*out)) or [()] * 6
+                out.append((n, digest(s), group, common(-(-num * n // den), num, den), first.view(np.int64), signature(s) if n else b"",
+                            *parities(s)))
+            columns = list(zip(*out)) or [()] * len(types)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(columns, types))],
-                                             names=["doc_id", "h", "n", "digest", "g", "need", "prefix", "sig"])
+                                             names=["doc_id", "h", "n", "digest", "g", "need", "prefix", "sig", *PARITY])
 
-    shape = f"doc_id {kind}, h long, n long, digest binary, g binary, need long, prefix array<long>, sig binary"
+    shape = f"doc_id {kind}, h long, n long, digest binary, g binary, need long, prefix array<long>, sig binary, " + ", ".join(f"{w} long" for w in PARITY)
     return staged(rows.mapInArrow(read, shape), "join-sets", compression="zstd")
 
 
@@ -156,6 +166,13 @@ def _fits(x: str, y: str, num: int, den: int) -> Column:
     return (den * F.least(*n) >= num * F.greatest(*n)) & (F.least(*room) >= F.greatest(*need))
 
 
+def _near(x: str, y: str, num: int, den: int) -> Column:
+    """Whether the parities leave room for a similarity of num/den: sets differ in no fewer tokens than parities."""
+    total = F.col(f"{x}.n") + F.col(f"{y}.n")
+    differ = sum((F.bit_count(F.col(f"{x}.{w}").bitwiseXOR(F.col(f"{y}.{w}"))) for w in PARITY), F.lit(0))
+    return den * (total - differ) >= num * (total + differ)
+
+
 def _ordered(a: str, b: str) -> tuple[Column, Column]:
     return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
 
@@ -181,26 +198,28 @@ def links(sets: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataF
     entries = _entries(groups, crowded)
     needed = small(staged(entries.select("g").union(crowded.select("g")).distinct(), "join-needed"))
     members = staged(groups.drop("prefix").join(needed, "g", "leftsemi"), "join-members", compression="zstd")
-    first = members.groupBy("g").agg(F.min("digest").alias("rep"))
+    first = members.groupBy("g").agg(F.min(F.struct("digest", "n", *PARITY)).alias("rep"), F.count("*").alias("members"))
 
     # the hub of a token shares most of its prefix with others; the same set is then the hub of most of its tokens
     degree = entries.groupBy("g").agg((-F.count("*")).alias("degree"))
     hubs = staged(entries.join(degree, "g").groupBy("token").agg(F.min(F.struct("degree", "g", "n", "need", "room")).alias("hub"), F.count("*").alias("size")).filter(
-        "size > 1").select("token", "hub.g", "hub.n", "hub.need", "hub.room").join(first, "g"), "join-hubs")
-    star = entries.alias("e").join(hubs.alias("h"), "token").filter((F.col("e.g") != F.col("h.g")) & _fits("e", "h", num, den)).select("e.g", "h.rep").distinct()
-    tried = star.join(members.select("g", "digest"), "g").select(*_ordered("rep", "digest")).union(
-        members.join(crowded, "g").filter("digest <> rep").select(*_ordered("rep", "digest")))
+        "size > 1").select("token", "hub.g", "hub.n", "hub.need", "hub.room").join(
+            first.select("g", F.col("rep.digest").alias("rep"), *(f"rep.{w}" for w in PARITY)), "g"), "join-hubs")
+    star = entries.alias("e").join(hubs.alias("h"), "token").filter((F.col("e.g") != F.col("h.g")) & _fits("e", "h", num, den)).select("e.g", "h.rep", "h.n", *(f"h.{w}" for w in PARITY)).distinct()
+    own = first.filter("members > 1").select("g", F.col("rep.digest").alias("rep"), "rep.n", *(f"rep.{w}" for w in PARITY))
+    tried = star.union(own).alias("h").join(members.alias("e"), "g").filter((F.col("e.digest") != F.col("h.rep")) & _near("e", "h", num, den)).select(
+        *_ordered("h.rep", "e.digest"))
     pairs = staged(_possible(tried, members, num, den), "join-star-pairs")
     items = _items(pairs.select(F.col("a").alias("digest")).union(pairs.select("b")), docs, k, "join-star")
     known = components(_verify(pairs, items, num, den, "join-star"), "join-star")
 
-    rooted = staged(members.select("digest", "g", "n", "need").join(known, F.col("digest") == F.col("node"), "left").select(
-        "digest", "g", "n", "need", F.coalesce("root", "digest").alias("root")), "join-rooted")
+    rooted = staged(members.select("digest", "g", "n", "need", *PARITY).join(known, F.col("digest") == F.col("node"), "left").select(
+        "digest", "g", "n", "need", *PARITY, F.coalesce("root", "digest").alias("root")), "join-rooted")
     # a group is one more list of sets, named by a hash of its name, in which places say nothing
     lists = entries.select("token", "g", "room").join(hubs.select("token", "rep"), "token").union(
         crowded.select(F.xxhash64("g"), "g", F.lit(None).cast("long"), "rep"))
     rest = staged(lists.join(rooted, "g").filter("digest <> rep").select(
-        "token", "digest", "n", "need", F.coalesce("room", "n").alias("room"), "root"), "join-lists")
+        "token", "digest", "n", "need", F.coalesce("room", "n").alias("room"), "root", *PARITY), "join-lists")
     rooted, items, width, turn = rooted.select("digest", "root"), None, HUBS, 0
     while True:
         name = f"join-late-{turn}"
@@ -211,7 +230,7 @@ def links(sets: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataF
         sizes = rest.groupBy("token", "root").agg(F.count("*").alias("size"))
         smallest = Window.partitionBy("token").orderBy("size", "root", "digest")
         hubs = staged(rest.join(sizes, ["token", "root"]).withColumn("place", F.row_number().over(smallest)).filter(F.col("place") <= width).drop("size", "place"), f"{name}-hubs")
-        tried = rest.alias("e").join(hubs.alias("h"), "token").filter((F.col("e.root") != F.col("h.root")) & _fits("e", "h", num, den)).select(
+        tried = rest.alias("e").join(hubs.alias("h"), "token").filter((F.col("e.root") != F.col("h.root")) & _fits("e", "h", num, den) & _near("e", "h", num, den)).select(
             *_ordered("e.digest", "h.digest"))
         pairs = staged(_possible(tried, members, num, den), f"{name}-pairs")
         rest = rest.join(hubs.select("token", "digest"), ["token", "digest"], "leftanti")

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from riskmart.llm import jaccard as J
@@ -61,6 +62,27 @@ def test_large_inputs_take_the_other_joins(spark, monkeypatch):
     assert sorted(map(tuple, J.op2_jaccard(table(spark, docs)).collect()), key=str) == brute(docs, 3, 90, 100)
 
 
+def test_a_common_passage_makes_few_pairs(spark, monkeypatch):
+    """Texts that share half of their words in one passage meet in many tokens, but are no pairs to look at."""
+    line = [f"c{i}" for i in range(30)]
+    docs = [(i, " ".join(line + [f"d{i}_{j}" for j in range(30)])) for i in range(120)]
+    docs += [(1000 + i, docs[i][1]) for i in range(5)] + [(2000 + i, docs[i][1] + " end") for i in range(5)]
+    seen, real = [], J._possible
+    monkeypatch.setattr(J, "_possible", lambda pairs, *rest: seen.append(pairs.distinct().count()) or real(pairs, *rest))
+    assert sorted(map(tuple, J.op2_jaccard(table(spark, docs)).collect()), key=str) == brute(docs, 3, 90, 100)
+    assert 0 < sum(seen) <= 2 * len(docs)
+
+
+def test_parities_differ_in_no_more_places_than_sets():
+    rnd = np.random.default_rng(5)
+    for size in (0, 1, 40, 900):
+        x = np.unique(rnd.integers(0, 1 << 64, size, np.uint64))
+        for change in (0, 1, 7, 300):
+            y = np.union1d(x[change:], rnd.integers(0, 1 << 64, change, np.uint64))
+            bits = sum(bin((a ^ b) & (1 << 64) - 1).count("1") for a, b in zip(J.parities(x), J.parities(y)))
+            assert bits <= len(np.setxor1d(x, y)) and bits % 2 == len(np.setxor1d(x, y)) % 2
+
+
 def test_edges(spark):
     got = J.op2_jaccard(table(spark, EDGES)).collect()
     assert sorted(map(tuple, got), key=str) == brute(EDGES, 3, 90, 100)
