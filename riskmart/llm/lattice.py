@@ -32,6 +32,8 @@ MARK = b" "
 PIECE_MARK = "▁"
 #: Words sent to every task by their count; beyond these, words meet their counts in a join.
 KNOWN_WORDS = 150_000
+#: Rows of rare words that a task hands on at a time.
+RARE_ROWS = 100_000
 #: Distinct words that one task counts before it hands them on.
 TALLY = 200_000
 PASSES = 3
@@ -284,51 +286,62 @@ def op3_lm_score(docs: DataFrame, pieces: list[tuple[bytes, float]] | None = Non
             break
         room, least = room - size["n"], size["least"]
     frequent = {} if least is None else {r[0]: (r[1], r[2]) for r in scored.filter(F.col("c") >= least).toLocalIterator()}
-    top = spark.sparkContext.broadcast({bytes(w): (float(np.log10(c + 0.1)) - norm, log, c > 0) for w, (c, log) in frequent.items()})
+    top = spark.sparkContext.broadcast({bytes(w): (float(np.log10(c + 0.1)) - norm, log, c > 0, 10 ** log) for w, (c, log) in frequent.items()})
     end = (float(np.log10((n_texts if n else 0) + 0.1)) - norm, model_end)
 
+    names = ["doc_id", "h", "train", "word", "times", "keep", "add", "n_tokens", "n_known", "base", "log"]
+
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = top.value
-        names = ["doc_id", "h", "train", "word", "times", "keep", "add", "n_tokens", "n_known", "base", "log"]
         keep, add, lost = repeats(1000)
+        kinds = dict(zip(names[2:], (pa.bool_(), pa.binary(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.int64(), pa.int64(),
+                                     pa.float64(), pa.float64())))
+
+        def rows_of(whole: pa.RecordBatch, found: dict[str, list]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([whole.column(0), whole.column(3), *(
+                pa.array(found[c], t) if c in found else pa.nulls(whole.num_rows, t) for c, t in kinds.items())], names=names)
+
         for batch in batches:
-            out = [[] for _ in names]
-            for at in range(batch.num_rows):
-                i, text, train, h = (batch.column(k)[at].as_py() for k in range(4))
-                places: dict[bytes, list[int]] = {}
-                tokens = 1
-                for k, w in enumerate(split_words(text)):
-                    places.setdefault(w, []).append(k)
-                    tokens += 1
+            docs = {c: [] for c in ("n_tokens", "n_known", "base", "log")}
+            owner, rare = [], {c: [] for c in ("word", "times", "keep", "add")}
+            for at, text in enumerate(batch.column(1).to_pylist()):
+                words = split_words(text)
+                tokens = len(words) + 1
                 if tokens > len(keep):
                     keep, add, lost = repeats(2 * tokens)
-                base, log, seen = end[0], end[1] + lost[tokens - 1], int(n_texts > 0)
-                for column, value in zip(out, (i, h, train)):
-                    column.append(value)
-                rare = []
-                for w, at_words in places.items():
-                    times = len(at_words)
-                    log += lost[at_words[0]]
+                first: dict[bytes, int] = {}
+                later: dict[bytes, list[int]] = {}
+                for k, w in enumerate(words):
+                    if first.setdefault(w, k) != k:
+                        later.setdefault(w, []).append(k)
+                base, seen = end[0], int(n_texts > 0)
+                log = end[1] + lost[tokens - 1] + sum(map(lost.__getitem__, first.values()))
+                unknown = 0
+                for w in first:
                     if w in known:
-                        b, own, some = known[w]
-                        base, log, seen = base + times * b, log + own, seen + times * some
-                        if times > 1:
-                            p = 10 ** own
-                            for j in range(1, times):
-                                k = at_words[j]
-                                log += log10(keep[k] * p + j * add[k])
+                        b, own, some, _ = known[w]
+                        base, log, seen = base + b, log + own, seen + some
                     else:
-                        again = at_words[1:]
-                        rare.append((w, times, [keep[k] for k in again] if again else None,
-                                     [(j + 1) * add[k] for j, k in enumerate(again)] if again else None))
-                for column, value in zip(out[3:], (None, None, None, None, tokens, seen, base, log)):
+                        again = later.get(w)
+                        rare["word"].append(w)
+                        rare["times"].append(1 + len(again) if again else 1)
+                        rare["keep"].append([keep[k] for k in again] if again else None)
+                        rare["add"].append([j * add[k] for j, k in enumerate(again, 1)] if again else None)
+                        unknown += 1
+                owner.extend([at] * unknown)
+                for w, again in later.items():
+                    if w in known:
+                        b, _, some, p = known[w]
+                        base, seen = base + len(again) * b, seen + len(again) * some
+                        for j, k in enumerate(again, 1):
+                            log += log10(keep[k] * p + j * add[k])
+                for column, value in zip(docs.values(), (tokens, seen, base, log)):
                     column.append(value)
-                for row in rare:
-                    for column, value in zip(out, (i, h, None, *row, None, None, None, None)):
-                        column.append(value)
-            types = [batch.schema.field(0).type, pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()),
-                     pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=names)
+            yield rows_of(batch, docs | {"train": batch.column(2)})
+            # one row for each rare word of a text
+            for i in range(0, len(owner), RARE_ROWS):
+                part = slice(i, i + RARE_ROWS)
+                yield rows_of(batch.select([0, 2, 2, 3]).take(pa.array(owner[part], pa.int64())), {c: v[part] for c, v in rare.items()})
 
     walked = staged(rows.withColumn("h", F.xxhash64("text")).select("doc_id", "text", "train", "h").mapInArrow(
         walk, f"doc_id {kind}, h long, train boolean, word binary, times long, keep array<double>, add array<double>, n_tokens long, n_known long, base double, log double"), "lm-walk")

@@ -95,6 +95,15 @@ def test_training_raises_the_likelihood(spark):
     assert first < one.word_logs(own).sum() <= three.word_logs(own).sum()
 
 
+def test_rare_words_go_in_bounded_batches(spark, monkeypatch):
+    """The parts that a task hands on do not change a score, and none is larger than RARE_ROWS or its batch of texts."""
+    docs = corpus(60, 12)
+    whole = {tuple(r)[:5]: r.score for r in L.op3_lm_score(table(spark, docs).repartition(3), sorted(PIECES), known_words=0, passes=1).collect()}
+    monkeypatch.setattr(L, "RARE_ROWS", 7)
+    parts = {tuple(r)[:5]: r.score for r in L.op3_lm_score(table(spark, docs).repartition(3), sorted(PIECES), known_words=0, passes=1).collect()}
+    assert whole.keys() == parts.keys() and all(math.isclose(whole[k], parts[k], rel_tol=1e-9) for k in whole)
+
+
 def test_edges(spark):
     assert L.op3_lm_score(table(spark, []), sorted(PIECES)).count() == 0
     held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0][:3]
