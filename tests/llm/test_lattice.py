@@ -96,7 +96,7 @@ def test_training_raises_the_likelihood(spark):
 
 
 def test_rare_words_go_in_bounded_batches(spark, monkeypatch):
-    """The parts that a task hands on do not change a score, and none is larger than RARE_ROWS or its batch of texts."""
+    """Rows of rare words that are handed on a few at a time give the same scores."""
     docs = corpus(60, 12)
     whole = {tuple(r)[:5]: r.score for r in L.op3_lm_score(table(spark, docs).repartition(3), sorted(PIECES), known_words=0, passes=1).collect()}
     monkeypatch.setattr(L, "RARE_ROWS", 7)
