@@ -79,3 +79,11 @@ def test_shuffle_parts_grow_with_the_tables_read(spark, monkeypatch):
     finally:
         spark.conf.unset(session.PARTS)
         spark.conf.set(session.ADVISED, advised)
+
+
+def test_customers_are_dealt_out_before_they_become_wide_rows(spark, tmp_path):
+    from riskmart.catalogue import Tables
+    from riskmart.catalogue.roles import VINTAGES, raw_telco
+    spark.range(64).selectExpr("id AS c_custkey", "CAST(id AS DOUBLE) AS c_acctbal", "CAST(id % 25 AS INT) AS c_nationkey").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    rows = raw_telco(Tables(spark, str(tmp_path)))
+    assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and rows.count() == 64 * len(VINTAGES)
