@@ -76,6 +76,20 @@ def test_logistic_minimises_the_penalised_sum_of_losses(pair):
     assert np.abs(gradient).max() < 1e-2 and abs((w * (p - y)).sum()) < 1e-2
 
 
+def test_logistic_starts_where_its_passes_end(pair):
+    """Features that depend on each other: from zero the passes go on for long, from the Newton start they end at once."""
+    train = pair["score_02"]["treino"].withColumn("twin", F.col("good") + 1e-3 * F.col("noise")).withColumn("far", F.col("good") * F.col("noise"))
+    names = ["good", "noise", "twin", "far"]
+    params = {"tol": 1e-9}
+    started = E.fit("lr", train, names, params=params).stages[-1]
+    m = E.model_matrix(train, names, "FPD")
+    c = E.matrix_counts(m, names)
+    plain = E.create("lr", names, weight_total=float(c["n"]), **params).fit(E.class_weights(m, c["n"], c["bad"])).stages[-1]
+    assert started.summary.totalIterations <= 5 < plain.summary.totalIterations
+    assert started.summary.objectiveHistory[-1] <= plain.summary.objectiveHistory[-1] + 1e-12
+    assert np.allclose(started.coefficients.toArray(), plain.coefficients.toArray(), atol=0.05)
+
+
 def test_a_feature_without_values_is_left_out(pair):
     train = pair["score_02"]["treino"].withColumn("empty", F.lit(None).cast("double"))
     assert E.features_of(E.fit("lr", train, ["good", "empty"])) == ["good"]
